@@ -26,6 +26,7 @@ from docketry.llm.tokens import BYTE_BPE_50K, token_counts
 from docketry.session import cut
 
 BLOCKS = 256
+SMALL = 200_000
 SEED = 20240229
 
 
@@ -101,13 +102,14 @@ def draws(sizes: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
     """
     planned = cut(plan(sizes, targets, runs).filter("planned_tokens > 0"))
     docs = sizes.filter("n_tokens > 0")
+    few = F.broadcast if planned.count() * BLOCKS <= SMALL else (lambda df: df)  # one row per run and source; beyond the bound Spark chooses the join
     todo = planned.select("run_id", "source", "passes", "rest")
     order = F.xxhash64(F.lit(SEED), "run_id", "doc_id")
-    placed = docs.join(F.broadcast(todo), "source").withColumn("h", order).withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(BLOCKS)).cast("int"))
+    placed = docs.join(few(todo), "source").withColumn("h", order).withColumn("block", F.pmod(F.shiftright("h", 40), F.lit(BLOCKS)).cast("int"))
     blocks = placed.groupBy("run_id", "source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     w = W.partitionBy("run_id", "source").orderBy("block")
     before = cut(blocks.withColumn("before", F.sum("block_tokens").over(w) - F.col("block_tokens")))
-    joined = placed.join(F.broadcast(before), ["run_id", "source", "block"])
+    joined = placed.join(few(before), ["run_id", "source", "block"])
     whole = joined.filter("before + block_tokens <= rest").withColumn("last", F.lit(1))
     none = joined.filter("before >= rest").withColumn("last", F.lit(0))
     inside = W.partitionBy("run_id", "source", "block").orderBy("h", "doc_id")

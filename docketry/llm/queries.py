@@ -66,5 +66,5 @@ def p8_canonical(spark: SparkSession, base: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p2_found, p2_turns, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_shares, p7_draws, p8_found, p8_canonical)
+    found = (p1_found, p2_found, p2_turns, p3_found, p3_pieces, p4_found, p4_restored, p5_found, p5_redacted, p6_ids, p7_draws, p7_shares, p8_found, p8_canonical)
     return {f.__name__: f for f in found}
