@@ -219,9 +219,9 @@ def countif(r: Column, criterion: str) -> Column:
 
 
 def sumif(r: Column, criterion: str, sums: Column | None = None) -> Column:
-    pairs = F.arrays_zip(r.alias("c"), (r if sums is None else sums).alias("v"))
-    kept = F.filter(pairs, lambda p: _meets(p[0], criterion) & is_number_text(p[1]))
-    return F.aggregate(kept, F.lit(0.0), lambda a, p: a + number(p[1]))
+    pairs = F.zip_with(r, r if sums is None else sums, lambda c, v: F.struct(c.alias("c"), v.alias("v")))
+    kept = F.filter(pairs, lambda p: _meets(p["c"], criterion) & is_number_text(p["v"]))
+    return F.aggregate(kept, F.lit(0.0), lambda a, p: a + number(p["v"]))
 
 
 def today() -> Column:

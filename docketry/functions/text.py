@@ -104,10 +104,10 @@ def safe_name(name: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """0 B, bytes without decimals, then KB, MB, GB with one."""
-    step = F.least(F.floor(F.log(F.lit(1024.0), n)), F.lit(3))
-    size = n / F.pow(F.lit(1024.0), step)
+    step = F.least(F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0))), F.lit(3))
+    size = n / F.pow(F.lit(1024.0), step.cast("double"))
     unit = F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), (step + 1).cast("int"))
-    shown = F.when(step == 0, F.format_string("%d", n.cast("long"))).otherwise(F.format_string("%.1f", size))
+    shown = F.when(step == 0, F.format_string("%d", n.cast("long"))).otherwise(F.format_string("%.1f", F.floor(size * 10 + 0.5) / 10))
     return F.when(n == 0, "0 B").otherwise(F.concat(shown, F.lit(" "), unit))
 
 

@@ -117,4 +117,4 @@ SQL = {
     "message_citations": """WITH m AS (SELECT DISTINCT ON (id) id, TRY_CAST(citations AS JSON) AS j FROM messages), x AS (SELECT id, unnest(range(1, CAST(json_array_length(j) AS BIGINT) + 1)) AS n, j FROM m WHERE json_type(j) = 'ARRAY')
         SELECT id, n, j[n - 1] ->> 'chunkId' AS chunk_id, j[n - 1] ->> 'documentId' AS document_id, CAST(j[n - 1] ->> 'page' AS BIGINT) AS page, CAST(j[n - 1] ->> 'score' AS DOUBLE) AS score FROM x""",
 }
-SQL["case_list_filtered"] = SQL["case_list_counts"] + " WHERE status = 'Open' AND (contains(lower(title), 'warehouse') OR contains(lower(reference), 'warehouse') OR contains(lower(description), 'warehouse'))"
+SQL["case_list_filtered"] = SQL["case_list_counts"] + " WHERE status = 'Open' AND (contains(lower(title), 'warehouse') OR contains(lower(reference), 'warehouse') OR contains(lower(c.description), 'warehouse'))"

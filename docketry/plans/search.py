@@ -139,8 +139,8 @@ SQL = {
     "bm25_filtered": f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_bm25(10, 'chunk_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')})",
     "keyword_view": f"SELECT query_id, chunk_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM ({_bm25(10)})",
     "highlight": "SELECT doc_id, regexp_replace(text, '(contract|warehouse|lease|the)', '<b>\\1</b>', 'gi') AS marked FROM documents",
-    "snippet_around": """WITH d AS (SELECT doc_id, text, least(nullif(strpos(lower(text), 'warehouse'), 0), nullif(strpos(lower(text), 'lease'), 0)) - 1 AS at FROM documents)
-        SELECT doc_id, CASE WHEN length(text) <= 280 THEN text WHEN at >= 140 THEN '…' || substring(text, at - 93 + 1, 280) || CASE WHEN at - 93 + 280 < length(text) THEN '…' ELSE '' END ELSE text[1:280] || '…' END AS snippet FROM d""",
+    "snippet_around": """WITH d AS (SELECT doc_id, text, least(nullif(strpos(lower(text), 'warehouse'), 0), nullif(strpos(lower(text), 'lease'), 0)) - 1 AS a FROM documents)
+        SELECT doc_id, CASE WHEN length(text) <= 280 THEN text WHEN a >= 140 THEN '…' || substring(text, a - 93 + 1, 280) || CASE WHEN a - 93 + 280 < length(text) THEN '…' ELSE '' END ELSE text[1:280] || '…' END AS snippet FROM d""",
     "knn_exact": f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_knn(10)})",
     "knn_filtered": f"SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_knn(10, 'label = want')})",
     "vector_norms": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)

@@ -12,7 +12,7 @@ COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 def _cells(s, b):
-    lines = t(s, b, "lineitem")
+    lines = t(s, b, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(x).alias(x) for x in COLS])
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.concat((F.col(x) + 0.0).cast("decimal(18,2)").cast("string"), F.lit(", x") if i == 3 else F.lit("")).alias("v")) for i, x in enumerate(COLS)])
     return lines.filter("l_linenumber <> 2").select(F.col("l_orderkey").alias("sheet_id"), (F.col("l_linenumber") - 1).alias("r"), F.explode(cells).alias("x")).select("sheet_id", "r", "x.c", "x.v")
 
@@ -79,7 +79,7 @@ QUERIES = {
     "sheet_paste": lambda s, b: sheet.pasted(t(s, b, "part").select(F.col("p_partkey").alias("sheet_id"), F.lit(198).alias("r0"), F.lit(24).alias("c0"), F.concat("p_name", F.lit("\t "), "p_brand", F.lit("\t x\r\n\n"), "p_type", F.lit("\t=A1\nlost")).alias("block"))),
 }
 
-_CELLS = """(SELECT l_orderkey AS sheet_id, l_linenumber - 1 AS r, unnest([0, 1, 2, 3]) AS c, unnest([CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_discount + 0.0 AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_tax + 0.0 AS DECIMAL(18,2)) AS VARCHAR) || ', x']) AS v FROM lineitem WHERE l_linenumber <> 2)"""
+_CELLS = """(SELECT l_orderkey AS sheet_id, l_linenumber - 1 AS r, unnest([0, 1, 2, 3]) AS c, unnest([CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_discount + 0.0 AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_tax + 0.0 AS DECIMAL(18,2)) AS VARCHAR) || ', x']) AS v FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2) WHERE l_linenumber <> 2)"""
 _LINES = "(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
 
 SQL = {

@@ -68,8 +68,8 @@ SQL = {
         WHEN 'json' THEN 'application/json' WHEN 'xml' THEN 'application/xml' WHEN 'eml' THEN 'message/rfc822' WHEN 'msg' THEN 'application/vnd.ms-outlook' ELSE 'application/octet-stream' END AS mime FROM (SELECT DISTINCT * FROM files))
         SELECT id, mime, mime NOT IN ('message/rfc822', 'application/vnd.ms-outlook', 'application/octet-stream') AS supported, regexp_replace(file_name, '[^\p{L}\p{N}._-]', '_', 'g') AS safe_name FROM f""",
     "snippets": r"SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE regexp_replace(text[1:120], '[\s\x0b\p{Z}]+$', '') || '...' END AS snippet FROM documents",
-    "format_bytes": """SELECT id, CASE WHEN size_bytes = 0 THEN '0 B' WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0)
-        ELSE printf('%.1f GB', size_bytes / 1073741824.0) END AS shown FROM (SELECT DISTINCT * FROM files)""",
+    "format_bytes": """SELECT id, CASE WHEN size_bytes = 0 THEN '0 B' WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN printf('%.1f KB', floor(size_bytes / 1024.0 * 10 + 0.5) / 10) WHEN size_bytes < 1073741824 THEN printf('%.1f MB', floor(size_bytes / 1048576.0 * 10 + 0.5) / 10)
+        ELSE printf('%.1f GB', floor(size_bytes / 1073741824.0 * 10 + 0.5) / 10) END AS shown FROM (SELECT DISTINCT * FROM files)""",
     "format_relative": """WITH d AS (SELECT id, updated_at, CAST(floor(epoch(TIMESTAMP '2023-01-01')) - floor(epoch(updated_at)) AS BIGINT) AS s FROM (SELECT DISTINCT * FROM cases))
         SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 2592000 THEN (s // 86400) || 'd ago' ELSE strftime(updated_at, '%Y-%m-%d') END AS shown FROM d""",
     "error_diagnosis": """SELECT id, CASE WHEN starts_with(trim(error), '{') THEN json_extract_string(TRY_CAST(error AS JSON), '$.problem') END AS problem FROM (SELECT DISTINCT ON (id) * FROM messages) WHERE error <> ''""",
