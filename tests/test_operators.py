@@ -315,7 +315,7 @@ def test_formula_corners(spark):
 def test_text_corners(spark):
     html = "<html><head><title>x</title></head><body><script>var a='<p>';</script><p>A &amp;lt; B&nbsp;</p></body></html>"
     assert one(spark, x.strip_html(F.lit(html))) == "A < B"
-    assert one(spark, x.collapse(F.lit(" a 　 b\n"))) == "a b"
+    assert one(spark, x.collapse(F.lit(" a\u00a0\u3000 b\n"))) == "a b"
     assert one(spark, x.word_count(F.lit("  "))) == 0
     assert [one(spark, x.format_bytes(F.lit(n))) for n in (0, 512, 1536, 5 * 1024**4)] == ["0 B", "512 B", "1.5 KB", "5120.0 GB"]
     assert one(spark, x.snippet(F.lit("ab cd"), 3)) == "ab..."
