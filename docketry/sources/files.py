@@ -107,7 +107,10 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def import_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file: path, file_name, stored_name, mime, size_bytes, checksum, index_status (`Pending`, or `Failed` for formats without text), content."""
+    """One row per file: path, file_name, stored_name, mime, size_bytes, checksum, index_status (`Pending`, or `Failed` for formats without text), content.
+
+    Files of no bytes do not appear: Spark's file sources pass over them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     typed = raw.select("path", F.url_decode(name).alias("file_name"), F.col("length").alias("size_bytes"), "content").withColumn("mime", guess_mime("file_name"))

@@ -33,7 +33,7 @@ def test_import_and_extract(spark, tmp_path):
     (d / "p.html").write_text("<head>x</head><p>hi</p>")
     (d / "w.docx").write_bytes(docx(("one", "two")))
     (d / "broken.docx").write_bytes(b"no zip")
-    (d / "empty.txt").write_bytes(b"")
+    (d / "empty.txt").write_bytes(b" \n")
     (d / "m.msg").write_bytes(b"x")
     rec = files.import_records(spark, str(d)).cache()
     assert rec.filter("file_name = 'm.msg' AND index_status = 'Failed'").count() == 1
