@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.session import cut
+
 K1, B, FLOOR, MOST_TERMS, PREFIX = 1.2, 0.75, 1e-6, 16, 3
 # Words without weight in a question, English and Portuguese.
 STOPWORDS = (
@@ -52,8 +54,9 @@ def bm25(passages: DataFrame, questions: DataFrame, allowed: DataFrame | None =
     found, never the statistics. score = sum of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean size)).
     Terms that fold to the same prefix count each. Questions without terms find nothing.
     """
-    posts = postings(passages)
-    stats = passages.agg(F.count("*").alias("n_all"), F.avg(F.size(tokens("text"))).alias("mean_size"))
+    words = cut(passages.select("chunk_id", tokens("text").alias("words")))  # texts are split once
+    stats = words.agg(F.count("*").alias("n_all"), F.avg(F.coalesce(F.size("words"), F.lit(0))).alias("mean_size"))
+    posts = words.select("chunk_id", F.size("words").alias("size"), F.explode("words").alias("token"))
     asked = questions.select("query_id", F.explode(terms("text")).alias("term")).withColumn("prefix", folded("term"))
     prefixes = asked.select("prefix").distinct()
     # A token meets the terms that begin with its own first letters: an equi-join on those, then the prefix test.
@@ -64,7 +67,7 @@ def bm25(passages: DataFrame, questions: DataFrame, allowed: DataFrame | None =
     short = prefixes.filter(F.length("prefix") < PREFIX)
     for n in range(1, PREFIX):
         met = met.unionByName(vocabulary.withColumn("prefix", head("token", n)).filter(F.length("token") >= n).join(short.filter(F.length("prefix") == n), "prefix").select("token", "prefix"))
-    found = posts.join(met, "token").groupBy("prefix", "chunk_id", "size").agg(F.sum("tf").cast("double").alias("tf"))
+    found = cut(posts.join(met, "token").groupBy("prefix", "chunk_id", "size").agg(F.count("*").cast("double").alias("tf")))
     df = found.groupBy("prefix").agg(F.count("*").cast("double").alias("df"))
     weight = F.ln((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     scored = found.join(df, "prefix").crossJoin(F.broadcast(stats)).select(  # one row of statistics
