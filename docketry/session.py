@@ -47,3 +47,27 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/docketry-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver found it by its own search path only.
+
+    Nothing to do where the folder is on PYTHONPATH or is the working folder, as workers inherit both. Else the package goes out
+    once as a zip through Spark's own file service, from the driver to every executor.
+    """
+    import os
+    import shutil
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    root = package.parent
+    here = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    sc = spark.sparkContext
+    if root in here or sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    folder = tempfile.mkdtemp(prefix="docketry-code-")
+    sc.addPyFile(shutil.make_archive(f"{folder}/docketry", "zip", root, package.name))
