@@ -151,8 +151,8 @@ def _cells(centres: np.ndarray, probes: int):
     return run
 
 
-def ivf_assign(vectors: DataFrame, centres: np.ndarray, probes: int = 1, salt: int = 1) -> DataFrame:
-    """Every vector with its `probes` nearest cells, one row each; a full cell is spread over `salt` parts."""
+def ivf_assign(vectors: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """Every vector with its `probes` nearest cells, one row each. Vectors of another width, and NULL ones, have none."""
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
     return vectors.mapInArrow(_cells(centres, probes), f"{kind}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
 
