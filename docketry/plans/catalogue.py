@@ -55,8 +55,8 @@ QUERIES = {
     "table_page": lambda s, b: c.page(t(s, b, "customer").select("c_custkey", "c_name", "c_acctbal"), [F.desc("c_acctbal"), F.col("c_custkey")], 40, 80),
     "events_window": lambda s, b: c.between(t(s, b, "events"), "2024-01-05 00:00:00", "2024-01-12 00:00:00").select("event_id", "ts", "event_type"),
     "upcoming_events": lambda s, b: c.upcoming(t(s, b, "events"), "2024-01-10 15:30:00").select("event_id", "ts", "event_type"),
-    "events_by_day": lambda s, b: c.per_day(t(s, b, "events")),
-    "month_grid": lambda s, b: c.month_grid(t(s, b, "events")),
+    "events_by_day": lambda s, b: c.per_day(t(s, b, "events")).withColumn("day", F.col("day").cast("string")),
+    "month_grid": lambda s, b: c.month_grid(t(s, b, "events")).withColumns({x: F.col(x).cast("string") for x in ("month", "day")}),
     "merge_cases": lambda s, b: w.upsert_cases(t(s, b, "cases"), _edits(s, b), NOW).select("id", "reference", "title", "status", "closed_at", "updated_at"),
     "delete_case_files": _deleted("files"),
     "delete_case_links": _deleted("case_people"),
@@ -101,9 +101,9 @@ SQL = {
     "table_page": "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 40 OFFSET 40",
     "events_window": "SELECT event_id, ts, event_type FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12'",
     "upcoming_events": "SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 40",
-    "events_by_day": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "events_by_day": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "month_grid": """WITH m AS (SELECT DISTINCT CAST(date_trunc('month', ts) AS DATE) AS month FROM events), n AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
-        SELECT month, cell, CAST(date_trunc('week', month) AS DATE) + CAST(cell AS INTEGER) AS day, coalesce(n.n, 0) AS n FROM m, range(42) r(cell) LEFT JOIN n ON n.day = CAST(date_trunc('week', month) AS DATE) + CAST(cell AS INTEGER)""",
+        SELECT CAST(month AS VARCHAR) AS month, cell, CAST(CAST(date_trunc('week', month) AS DATE) + CAST(cell AS INTEGER) AS VARCHAR) AS day, coalesce(n.n, 0) AS n FROM m, range(42) r(cell) LEFT JOIN n ON n.day = CAST(date_trunc('week', month) AS DATE) + CAST(cell AS INTEGER)""",
     "merge_cases": """SELECT id, CASE WHEN id[1] = 'a' THEN reference || '-X' ELSE reference END AS reference, CASE WHEN id[1] = 'c' THEN 'Re: ' || title ELSE title END AS title,
         CASE WHEN id[1] = 'c' THEN 'Open' WHEN id[1] IN ('a', 'b') THEN 'Closed' ELSE status END AS status,
         CASE WHEN id[1] = 'c' THEN NULL WHEN id[1] IN ('a', 'b') THEN CASE WHEN status = 'Closed' THEN coalesce(closed_at, TIMESTAMP '2022-06-15 12:00:00') ELSE TIMESTAMP '2022-06-15 12:00:00' END ELSE closed_at END AS closed_at,
