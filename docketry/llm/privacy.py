@@ -1,7 +1,8 @@
 """Problem 5: personal information inside free text.
 
 A pass over the rows finds mentions (e-mail, phone, identity number, address, name) by their form and by the words around
-them; no shuffle. Every distinct entity then gets a surrogate: a keyed hash (HMAC) picks digits, letters and names of the same
+them. Names in small letters are told from ordinary words by how often the corpus uses the word elsewhere: a count by word, and
+a join of the few rows concerned. Every distinct entity then gets a surrogate: a keyed hash (HMAC) picks digits, letters and names of the same
 type, format and gender, so one entity has one surrogate everywhere (coreference). Surrogates that two entities share,
 or that are themselves entities of the corpus, are drawn again until none is left (distinctness). The text comes out twice:
 with plain typed placeholders, and with surrogates.
@@ -11,7 +12,8 @@ from __future__ import annotations
 
 import hmac
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -70,6 +72,35 @@ FAMILY = re.compile(rf"((?:[ ](?:[{UP}]\.[ ]?)+|[ ])(?:(?:de|da|do|dos|das|von|v
 POSSESSIVE = re.compile(r"[’']s$")
 
 
+LOW = "a-zß-öø-ÿœšžāēīōū"
+SMALL = re.compile(rf"(?<![\w@./’'-])[{LOW}]\w*(?:[’'-][{LOW}]\w+)*")
+SMALL_FAMILY = re.compile(rf"([ ](?:[{LOW}]\.[ ]?)*(?:(?:de|da|do|dos|das|von|van|du)[ ])?)([{LOW}]\w+(?:[’'-][{LOW}]\w+)*)(?![\w@]|[.:-]\w)")
+STREET_BEFORE = re.compile(r"(?:\b(?:rua|calle|rue|avenida|avenue|av\.|travessa|largo|praça|plaza|place|paseo|alameda|estrada)\s(?:d[aeou]s?\s|de\sla\s|del\s)?|[\w.]@)$", re.I)
+# Titles that are no ordinary words when written small.
+SMALL_TITLES = set("mr mrs ms dr dra prof profa sr sra srta herr frau mme mlle monsieur madame doña dona".split())
+# Given names that are ordinary words when written small; before a capital they open nothing.
+WORDS_TOO = set("will bill sue mark drew max pat rob dick ed lu bel".split())
+# Ordinary words that follow a given name or title in small letters, besides those of NO_FAMILY.
+COMMON = set(
+    "and but or nor than then who whose whom which that with without by of to into onto over under after before about against between during since until also too only just again now today tomorrow yesterday soon later never always often "
+    "is are was were be been being am has had having can could may might must shall should will would lives lived said says told asked asks wrote writes called calls came comes went goes left leaves gave gives took takes paid pays sent sends signed signs met meets "
+    "agreed confirmed refused declined replied answered owes owns wants needs thinks knows made makes got gets put keeps kept held holds found finds lost sold bought brought works worked tree plant payable due number account book month year "
+    "com sem sob sobre mas ou que também já ainda ontem hoje amanhã foi era está são tem tinha mora reside disse ligou pediu pagou assinou enviou quer deve pode vai veio "
+    "con sin pero que también ya todavía ayer hoy mañana fue era está son tiene tenía vive reside dijo llamó pidió pagó firmó envió quiere debe puede va vino "
+    "mit ohne aber oder dass auch schon noch gestern heute morgen ist war sind hat hatte wohnt sagte rief bat zahlte schickte will muss kann wird kam unter "
+    "avec sans mais ou que aussi déjà encore hier demain est était sont habite demeure dit appelle paie envoie veut doit peut va vient sous chez dans sur".split()
+)
+
+
+@lru_cache(200_000)
+def _opens(word: str) -> str:
+    """What a word in small letters can open: title, given name or nothing."""
+    if word in SMALL_TITLES:
+        return "title"
+    low = plain(word.split("-")[0])
+    return "given" if low in GIVEN or low in NICKNAMES else ""
+
+
 @lru_cache(200_000)
 def _role(word: str) -> str:
     """What a capitalised word can open: title, given name, initial, or nothing."""
@@ -125,8 +156,35 @@ def _names(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def mentions(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in order of position; spans do not overlap. NULL and blank texts have none."""
+def _small_names(text: str, ordinary: Collection[str] = ()) -> list[tuple[int, int, list[str]]]:
+    """Start, end and the small-letter family words of names opened in small letters; words of `ordinary` and fixed common words are no family names."""
+    out, done = [], 0
+    for m in SMALL.finditer(text):
+        if m.start() < done or not (role := _opens(m[0])) or STREET_BEFORE.search(text, max(0, m.start() - 24), m.start()):
+            continue
+        end = m.end() + (role == "title" and text[m.end() : m.end() + 1] == ".")
+        if role == "title" and (g := SMALL_FAMILY.match(text, end)) and _opens(g[2]) == "given" and SMALL_FAMILY.match(text, g.end(2)):
+            end = g.end(2)
+        words, small = 0, []
+        while words < 2 and (f := SMALL_FAMILY.match(text, end) or (FAMILY.match(text, end) if m[0] not in WORDS_TOO or small else None)):
+            word = POSSESSIVE.sub("", f[2])
+            if not _family(word) or word in COMMON or plain(word) in ORGANIZATION_WORDS or word in ordinary or (small and not word[0].islower()) or (words > len(small) and word[0].islower()):
+                break
+            words += 1
+            small += [word] if word[0].islower() else []
+            end = f.start(2) + len(word)
+        after = FAMILY.match(text, end) or SMALL_FAMILY.match(text, end)
+        if words and not (after and plain(after[2]) in ORGANIZATION_WORDS):
+            out.append((m.start(), end, small))
+            done = end
+    return out
+
+
+def mentions(text: str | None, ordinary: Collection[str] | None = ()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in order of position; spans do not overlap. NULL and blank texts have none.
+
+    `ordinary`: words of the text that the corpus shows to be no family names in small letters; None: no name is opened in small letters.
+    """
     if not text:
         return []
     spans: list[tuple[str, int, int]] = []
@@ -152,13 +210,15 @@ def mentions(text: str | None) -> list[tuple[str, int, int]]:
             add("phone", m.start(), m.end())
     for a, b in _names(text):
         add("name", a, b)
+    for a, b, _ in _small_names(text, ordinary) if ordinary is not None else ():
+        add("name", a, b)
     return sorted(spans, key=lambda s: s[1])
 
 
-def _numbered(text: str | None) -> list[tuple[str, int, int, int, str]]:
+def _numbered(text: str | None, ordinary: Collection[str] | None) -> list[tuple[str, int, int, int, str]]:
     seen: dict[str, int] = {}
     out = []
-    for kind, a, b in mentions(text):
+    for kind, a, b in mentions(text, ordinary):
         seen[kind] = seen.get(kind, 0) + 1
         out.append((kind, seen[kind], a, b, text[a:b]))
     return out
@@ -170,7 +230,7 @@ def _find(with_value: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, i, k, n, a, b, v) for s, i, t in zip(*(c.to_pylist() for c in batch.columns)) for k, n, a, b, v in _numbered(t)]
+            rows = [(s, i, k, n, a, b, v) for s, i, t, o in zip(*(c.to_pylist() for c in batch.columns)) for k, n, a, b, v in _numbered(t, o)]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=names)
 
     return run
@@ -182,9 +242,38 @@ def texts(people: DataFrame, cases: DataFrame, messages: DataFrame) -> DataFrame
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("record_id IS NOT NULL AND text <> ''")
 
 
+def _small_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch how often each small-letter word stands outside names (no id), and a row per family word of a possible small-letter name (with id); '' for a name without one."""
+    for batch in batches:
+        outside: Counter[str] = Counter()
+        rows: list[tuple] = []
+        for s, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+            if not t:
+                continue
+            words = SMALL.findall(t)
+            outside.update(words)
+            if any(map(_opens, words)):
+                for _, _, small in _small_names(t):
+                    rows += [(w, 1, s, i) for w in small or [""]]
+                    outside.subtract(small)
+        rows += [(w, n, None, None) for w, n in outside.items() if n > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["word", "n", "src", "record_id"])
+
+
+def with_ordinary(rows: DataFrame) -> DataFrame:
+    """src, record_id, text, ordinary: of a row that may hold names in small letters those of their words that stand outside such names at least as often as inside, over all rows; NULL for all other rows."""
+    seen = cut(rows.select("src", "record_id", "text").mapInArrow(_small_words, "word string, n long, src string, record_id string"))
+    inside = seen.filter("record_id IS NOT NULL")
+    ours = inside.groupBy("word").agg(F.sum("n").alias("inside"))
+    elsewhere = seen.filter("record_id IS NULL").groupBy("word").agg(F.sum("n").alias("outside"))
+    ordinary = ours.join(elsewhere, "word").filter("outside >= inside").select("word", F.col("word").alias("plain_word"))
+    per_row = inside.select("src", "record_id", "word").distinct().join(ordinary, "word", "left").groupBy("src", "record_id").agg(F.collect_set("plain_word").alias("ordinary"))
+    return rows.select("src", "record_id", "text").join(per_row, ["src", "record_id"], "left").select("src", "record_id", "text", "ordinary")
+
+
 def found(rows: DataFrame) -> DataFrame:
     """src, record_id, kind, nth: one row per mention; each id once (repeated rows are identical)."""
-    return rows.mapInArrow(_find(False), "src string, record_id string, kind string, nth int").distinct()
+    return with_ordinary(rows).mapInArrow(_find(False), "src string, record_id string, kind string, nth int").distinct()
 
 
 # Names for surrogates, by gender.
@@ -241,14 +330,14 @@ def surrogate(kind: str, who: str, value: str, key: bytes, attempt: int = 0) ->
     out = []
     for w in value.split():
         low = plain(w.strip("."))
-        if w.strip(".") in TITLES:
+        if w.strip(".") in TITLES or w.strip(".") in SMALL_TITLES:
             out.append(w)
         elif len(low) == 1:
             out.append(chr(65 + draw(26)) + "." * w.endswith("."))
         elif low in GIVEN or low in NICKNAMES:
             pool = FEMALE if low in FEMALE_GIVEN else MALE
             name = pool[draw(len(pool))]
-            out.append(name.upper() if w.isupper() else name)
+            out.append(name.upper() if w.isupper() else name.lower() if w.islower() else name)
         else:
             out.append("-".join(_word(draw, x) for x in w.split("-")))
     return " ".join(out)
@@ -312,7 +401,7 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redacted(rows: DataFrame, key: bytes = b"docketry") -> DataFrame:
     """src, record_id, text (typed placeholders), surrogate_text. Rows without a mention come out unchanged; each id once."""
     once = rows.dropDuplicates(["src", "record_id"])
-    hits = cut(once.mapInArrow(_find(True), "src string, record_id string, kind string, nth int, start int, end int, value string"))
+    hits = cut(with_ordinary(once).mapInArrow(_find(True), "src string, record_id string, kind string, nth int, start int, end int, value string"))
     swap = entity_surrogates(hits, key)
     per_row = hits.join(swap.select("kind", "value", "surrogate"), ["kind", "value"]).groupBy("src", "record_id").agg(F.collect_list(F.struct("kind", "start", "end", "surrogate")).alias("hits"))
     return once.join(per_row, ["src", "record_id"], "left").select("src", "record_id", "text", "hits").mapInArrow(_replaced, "src string, record_id string, text string, surrogate_text string")

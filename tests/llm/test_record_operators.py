@@ -167,6 +167,30 @@ def test_mentions(text, want):
     assert [k for k, *_ in privacy.mentions(text)] == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Cadastro: isabel pexbranosk / passport no.", ["isabel pexbranosk"]),
+        ("Per joão mulavi's call; mr. litike and maria da ruzangu spoke, then ivy j. kurenmor.", ["joão mulavi", "mr. litike", "maria da ruzangu", "ivy j. kurenmor"]),
+        ("Spoke to ivy Numofa and Hugh Vodu; rebecca left, and the will is signed.", ["ivy Numofa", "Hugh Vodu"]),
+        ("Write to maria silva@x.test; rua maria silva 20; hugh zolu plc", []),
+    ],
+)
+def test_names_in_small_letters(text, want):
+    assert [text[a:b] for k, a, b in privacy.mentions(text) if k == "name"] == want
+
+
+def test_ordinary_words_of_the_corpus_are_no_small_letter_names(spark):
+    rows = [("cases", "1", "The bill hereunder is open, as hereunder shown."), ("cases", "2", "Paid hereunder."), ("cases", "3", "signed by ivy kurenmor hereunder, SSN 903-62-2129"), ("people", "4", "Ivy Kurenmor and ivy kurenmor")]
+    rows = spark.createDataFrame(rows, "src string, record_id string, text string")
+    got = sorted((r.record_id, r.kind, r.nth) for r in privacy.found(rows).collect())
+    assert got == [("3", "id_number", 1), ("3", "name", 1), ("4", "name", 1), ("4", "name", 2)]
+    out = {r.record_id: r for r in privacy.redacted(rows).collect()}
+    assert out["3"].text == "signed by [NAME] hereunder, SSN [ID_NUMBER]" and out["4"].text == "[NAME] and [NAME]"
+    big, small = out["4"].surrogate_text.split(" and ")
+    assert big.lower() == small and out["3"].surrogate_text.startswith(f"signed by {small} hereunder")
+
+
 def test_redaction_changes_nothing_else(spark):
     text = "Spoke to Ivy Numofa (SSN 903-62-2129).\nMail ivy@x.test, ring 07700 900 779."
     rows = spark.createDataFrame([("messages", "1", text), ("messages", "1", text), ("cases", "1", "Nothing here."), ("people", "2", "Ms Numofa and IVY NUMOFA; Hugh Vodu")], "src string, record_id string, text string")
