@@ -1,7 +1,7 @@
 """Spreadsheets as tables of cells: used range, dependencies, calculation order, cycles, CSV.
 
 A cell is a row (sheet_id, r, c, v). References between cells are a second table; calculation order comes from peeling off
-cells whose inputs are done, one join per level, so sheets of any number are worked on at once.
+cells whose inputs are done while chains are halved, so sheets of any number and length are worked on at once.
 """
 
 from __future__ import annotations
@@ -46,19 +46,33 @@ def references(formulas: DataFrame) -> DataFrame:
     return spread.select("sheet_id", "r", "c", "rr", F.explode(F.sequence(F.least("c1", "c2"), F.greatest("c1", "c2"))).alias("rc")).distinct()
 
 
-def calculation_levels(formulas: DataFrame, most: int = 200) -> DataFrame:
-    """sheet_id, r, c, level: 1 for formulas that read no other formula, and so on; NULL level: part of, or dependent on, a circle of any length."""
-    refs = references(formulas)
+def calculation_levels(formulas: DataFrame) -> DataFrame:
+    """sheet_id, r, c, level: 1 for formulas that read no other formula, and so on; NULL level: part of, or dependent on, a circle of any length.
+
+    Each round gives a level to the cells all of whose inputs have one. A cell that still waits for one input only is passed
+    over by those that read it: they wait for its input, so many steps further, and a chain takes logarithmically many rounds.
+    Ends when a round gives no level: what is left waits for a circle.
+    """
+    cell, read = ["sheet_id", "r", "c"], ["sheet_id", "rr", "rc"]
+    as_read = {"r": "rr", "c": "rc"}
     other = formulas.select("sheet_id", F.col("r").alias("rr"), F.col("c").alias("rc"))
-    waits = cut(refs.join(other, ["sheet_id", "rr", "rc"]))
-    left, done = cut(formulas.select("sheet_id", "r", "c")), None
-    for level in range(1, most + 1):
-        now = cut(left.join(waits, ["sheet_id", "r", "c"], "left_anti").withColumn("level", F.lit(level)))
+    waits = cut(references(formulas).join(other.distinct(), read).withColumn("steps", F.lit(1).cast("long")))
+    left, done, rounds = cut(formulas.select(*cell).distinct().withColumn("least", F.lit(1).cast("long"))), None, 0
+    while True:
+        now = cut(left.join(waits, cell, "left_anti").select(*cell, F.col("least").alias("level")))
         if now.isEmpty():
             break
+        rounds += 1
         done = now if done is None else done.unionByName(now)
-        keys = now.select("sheet_id", "r", "c")
-        left = cut(left.join(keys, ["sheet_id", "r", "c"], "left_anti"))
-        waits = cut(waits.join(keys.withColumnsRenamed({"r": "rr", "c": "rc"}), ["sheet_id", "rr", "rc"], "left_anti"))
-    rest = left.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+        done = cut(done) if rounds % 16 == 0 else done
+        got = waits.join(now.withColumnsRenamed(as_read), read).groupBy(*cell).agg(F.max(F.col("level") + F.col("steps")).alias("more"))
+        left = cut(left.join(now, cell, "left_anti").join(got, cell, "left").select(*cell, F.greatest("least", "more").alias("least")))
+        waits = cut(waits.join(now.withColumnsRenamed(as_read), read, "left_anti"))
+        one = waits.groupBy(*cell).agg(F.count("*").alias("n"), F.min("rr").alias("to_r"), F.min("rc").alias("to_c"), F.min("steps").alias("on")).filter("n = 1")
+        over = cut(waits.join(one.join(left, cell).select("sheet_id", F.col("r").alias("rr"), F.col("c").alias("rc"), "to_r", "to_c", "on", "least"), read, "left"))
+        past = over.groupBy(*cell).agg(F.max(F.col("least") + F.col("steps")).alias("more"))
+        left = cut(left.join(past, cell, "left").select(*cell, F.greatest("least", "more").alias("least")))
+        far = F.least(F.col("steps") + F.coalesce("on", F.lit(0)), F.lit(1 << 60))  # round a circle it would double for ever
+        waits = cut(over.select(*cell, F.coalesce("to_r", "rr").alias("rr"), F.coalesce("to_c", "rc").alias("rc"), far.alias("steps")).groupBy("sheet_id", "r", "c", "rr", "rc").agg(F.max("steps").alias("steps")))
+    rest = left.select(*cell, F.lit(None).cast("int").alias("level"))
+    return rest if done is None else done.select(*cell, F.col("level").cast("int").alias("level")).unionByName(rest)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators.catalog import once
 from docketry.operators.ordering import Desc, numbered
+from docketry.session import cut
 
 KINDS = ["case", "document", "person", "sheet", "event"]
 MENTION = r"(?<![\w.@-])@([A-Za-z0-9][A-Za-z0-9._/-]*)"
@@ -74,16 +75,16 @@ def filter_tree(nodes: DataFrame, text: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame) -> DataFrame:
-    """id, ancestor, steps: every ancestor of every node, nearest first; walks up level by level until none is added."""
-    step = nodes.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps"))
-    up = nodes.filter("parent_id IS NOT NULL").select(F.col("id").alias("ancestor"), F.col("parent_id").alias("next"))
-    out = step
-    for k in range(2, 12):
-        step = step.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(k).alias("steps"))
-        if step.isEmpty():
-            break
-        out = out.unionByName(step)
-    return out
+    """id, ancestor, steps: every ancestor of every node, nearest first; each round doubles the reach until none is added. A circle of parents raises ValueError."""
+    out, reach = cut(nodes.filter("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps"))), 1
+    while True:
+        if not out.filter("id = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
+        up = out.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more"))
+        new = cut(out.filter(F.col("steps") == reach).join(up, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
+        if new.isEmpty():
+            return out
+        out, reach = cut(out.unionByName(new)), 2 * reach
 
 
 def visible(nodes: DataFrame, collapsed: DataFrame, hidden_kinds: list[str] | None = None) -> DataFrame:

@@ -297,6 +297,23 @@ def test_circles_of_any_length_are_found(spark):
     assert got == {(0, 0): None, (0, 1): None, (0, 2): None, (5, 0): 1, (6, 0): 2, (7, 0): None}
 
 
+def test_long_chains_get_their_levels(spark):
+    f = [(1, r, 0, "=1" if r == 0 else f"=A{r}+B1") for r in range(450)] + [(1, 0, 3, "=A450+A7+E1"), (1, 0, 4, "=D1"), (2, 0, 0, "=A2"), (2, 1, 0, "=A3+A4"), (2, 2, 0, "=A4"), (2, 3, 0, "=5")]
+    f += [(3, r, 0, f"=A{(r + 1) % 90 + 1}") for r in range(90)] + [(3, 0, 1, "=A1")]
+    got = {(r.sheet_id, r.r, r.c): r.level for r in sheet.calculation_levels(spark.createDataFrame(f, "sheet_id int, r int, c int, f string")).collect()}
+    assert all(got[1, r, 0] == r + 1 for r in range(450)) and got[1, 0, 3] is None and got[1, 0, 4] is None
+    assert [got[2, r, 0] for r in range(4)] == [4, 3, 2, 1]
+    assert {got[3, r, 0] for r in range(90)} | {got[3, 0, 1]} == {None} and len(got) == len(f)
+
+
+def test_ancestors_of_deep_trees_and_circles(spark):
+    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(40)], "id string, parent_id string")
+    got = {(r.id, r.ancestor): r.steps for r in tree.ancestors(deep).collect()}
+    assert got == {(f"n{i}", f"n{j}"): i - j for i in range(40) for j in range(i)}
+    with pytest.raises(ValueError):
+        tree.ancestors(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "id string, parent_id string"))
+
+
 def test_formula_corners(spark):
     r = F.array(F.lit("1"), F.lit("x"), F.lit(""), F.lit("$2,000"))
     assert one(spark, m.sum_(r)) == 2001.0 and one(spark, m.average(F.array().cast("array<string>"))) is None
