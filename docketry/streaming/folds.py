@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.operators.chunking import chunks
+from docketry.session import cut
 
 # The steps of an answer, in order.
 STEPS = ["mentions", "embed", "search", "context", "answer"]
@@ -34,9 +36,23 @@ def step_states(events: DataFrame, key: str, step: str, state: str, order: list[
 
 
 def lines(parts: DataFrame, key: str, order: str, column: str) -> DataFrame:
-    """key, place, line: byte chunks of a feed put together in order and cut at line ends; the last unfinished line counts. A feed is one reply, bounded by nature."""
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda x: x[column]), "")
-    return parts.groupBy(key).agg(whole.alias("w")).select(key, F.posexplode(F.split("w", r"\r?\n")).alias("place", "line")).filter("line <> ''")
+    """key, place, line: byte chunks of a feed put together in order and cut at line ends; the last unfinished line counts. NULL parts hold nothing.
+
+    Breaks are counted in each range partition of the feeds and shifted by those of the partitions before it, which numbers
+    the line of every part; parts meet per line only, so a feed may be of any length.
+    """
+    named = parts.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.coalesce(column, F.lit("")).alias("__text"))
+    ranged = cut(named.repartitionByRange("__key", "__order", "__text").withColumn("__part", F.spark_partition_id()).withColumn("__breaks", F.length("__text") - F.length(F.replace("__text", F.lit("\n"), F.lit("")))))
+    sums = ranged.groupBy("__key", "__part").agg(F.sum("__breaks").alias("n"))
+    before = sums.select(F.col("__key").alias("k"), F.col("__part").alias("p"), F.coalesce(F.sum("n").over(W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    run = W.partitionBy("__key", "__part").orderBy("__order", "__text").rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumn("__i", F.row_number().over(run)).withColumn("__off", F.sum("__breaks").over(run) - F.col("__breaks"))
+    placed = local.join(before, F.col("__key").eqNullSafe(F.col("k")) & (F.col("__part") == F.col("p")))
+    pieces = placed.select("__key", "__part", "__i", "__breaks", (F.col("before") + F.col("__off")).alias("first"), F.posexplode(F.split("__text", "\n")).alias("j", "piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__part", "__i", "piece"))), lambda x: x["piece"]), "")
+    line = pieces.groupBy("__key", (F.col("first") + F.col("j")).cast("int").alias("place")).agg(whole.alias("w"), F.max(F.col("j") < F.col("__breaks")).alias("ended"))
+    bare = F.when(F.col("ended") & F.endswith("w", F.lit("\r")), F.left("w", F.length("w") - 1)).otherwise(F.col("w"))
+    return line.select(F.col("__key").alias(key), "place", bare.alias("line")).filter("line <> ''")
 
 
 def windowed_counts(events: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions import formula as m
 from docketry.functions import text as x
 from docketry.operators import catalog, chunking, consistency, embedding, graph, hybrid, keyword, ordering, sheet, tree, vectors
+from docketry.streaming import folds
 
 
 def one(spark, column):
@@ -297,6 +299,27 @@ def test_circles_of_any_length_are_found(spark):
     assert got == {(0, 0): None, (0, 1): None, (0, 2): None, (5, 0): 1, (6, 0): 2, (7, 0): None}
 
 
+def test_lines_span_parts_and_no_task_sees_a_whole_feed(spark, data):
+    rows = [("a", 1, "on"), ("a", 2, "e\r"), ("a", 3, "\ntw"), ("a", 4, "o\n\n"), ("a", 5, None), ("a", 6, "three\r"), (None, 1, "x\ny"), (None, 2, "z\n"), ("b", 1, "\n")]
+    got = sorted((r.k or "", r.place, r.line) for r in folds.lines(spark.createDataFrame(rows, "k string, n int, t string"), "k", "n", "t").collect())
+    assert got == [("", 0, "x"), ("", 1, "yz"), ("a", 0, "one"), ("a", 1, "two"), ("a", 3, "three\r")]
+
+    props = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_id", F.concat(F.substring("props", 1, 5), F.lit("\r\n"), F.expr("substring(props, 6)")).alias("part"))
+    feeds: dict = {}
+    for r in sorted(props.collect(), key=lambda r: r.event_id):
+        feeds[r.user_id] = feeds.get(r.user_id, "") + (r.part or "")
+    want = sorted((u, i, line) for u, w in feeds.items() for i, line in enumerate(re.split(r"\r?\n", w)) if line)
+    assert sorted(map(tuple, folds.lines(props, "user_id", "event_id", "part").collect())) == want
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so few rows are brought together again
+    try:
+        hot = folds.lines(spark.range(4000).select(F.lit(1).alias("k"), "id", F.concat(F.col("id").cast("string"), F.lit("\n")).alias("t")), "k", "id", "t")
+        assert hot.groupBy(F.spark_partition_id()).count().count() > 1
+        assert hot.filter("place <> CAST(line AS int)").isEmpty() and hot.count() == 4000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_long_chains_get_their_levels(spark):
     f = [(1, r, 0, "=1" if r == 0 else f"=A{r}+B1") for r in range(450)] + [(1, 0, 3, "=A450+A7+E1"), (1, 0, 4, "=D1"), (2, 0, 0, "=A2"), (2, 1, 0, "=A3+A4"), (2, 2, 0, "=A4"), (2, 3, 0, "=5")]
     f += [(3, r, 0, f"=A{(r + 1) % 90 + 1}") for r in range(90)] + [(3, 0, 1, "=A1")]
