@@ -1,10 +1,10 @@
 """Problem 7: mix sources to target weights.
 
-Temperature mixing. The weight of a source lies between its target share t and its natural share of tokens p, as
-t * (p / t) ** exponent: exponent 0 is the target itself, 1 the corpus as it is. A source whose budget would need it more
-often than its repetition limit gets the least exponent, found by bisection, at which the limit holds (or, where even the
-natural share is too much, its limit outright); what it gives up goes to the other sources in proportion to their targets.
-So the target is met exactly wherever it is within reach, and missed by as little as the limits allow elsewhere.
+Water filling takes the place of temperature mixing. A source draws its share of the budget by target, but never more than
+its repetition limit, which it then takes outright; what it gives up goes to the other sources in proportion to their targets.
+So the target is met exactly wherever it is within reach, and missed by as little as the limits allow elsewhere. What
+temperature would lead to the limit is reported, and decides nothing: the exponent between target share t (0) and natural share
+of tokens p (1) at which t * (p / t) ** exponent is not above the limit, found by bisection.
 
 Budgets become documents by block permutations: a keyed hash sends every document of a source to one of a fixed number of
 blocks per pass and orders it inside. Whole passes, then whole blocks are taken while they fit; only inside the last block
@@ -45,7 +45,7 @@ def _exponent(t: float, p: float, most: float) -> float:
 
 
 def weights(budget: int, target: list[float], tokens: list[int], repeats: list[int]) -> list[tuple[float, float]]:
-    """(tokens to draw, exponent) per source. Sources without tokens, target or repeats draw nothing."""
+    """(tokens to draw, exponent) per source: the least of its limit and its part of what is left; the exponent is for the report. Sources without tokens, target or repeats draw nothing."""
     total = sum(tokens) or 1
     limit = [k * max(r, 0) for k, r in zip(tokens, repeats)]
     live = {i for i, t in enumerate(target) if t > 0}
@@ -60,7 +60,7 @@ def weights(budget: int, target: list[float], tokens: list[int], repeats: list[i
         for i in over:
             t, most = target[i] / share, (limit[i] / left if left > 0 else 0.0)
             alpha[i] = _exponent(t, tokens[i] / total, most)
-            draw[i] = min(limit[i], left * (t * (tokens[i] / total / t) ** alpha[i] if tokens[i] else 0.0)) if alpha[i] < 1 else float(limit[i])
+            draw[i] = float(limit[i])
         live -= set(over)
         left = max(0.0, budget - sum(draw))
     return list(zip(draw, alpha))

@@ -226,6 +226,12 @@ def test_weights_meet_the_target_or_the_limit():
     assert mixing.weights(0, [1.0], [5], [1])[0][0] == 0
 
 
+def test_capped_sources_draw_their_limit_to_the_last_token():
+    for budget in range(1000, 1400):
+        (draw, _), (rest, _) = mixing.weights(budget, [0.7, 0.3], [97, 5000], [3, 1])
+        assert draw == 291 and abs(rest - (budget - 291)) < 1e-9
+
+
 def test_draws_keep_limits_and_shares(spark):
     sizes = spark.createDataFrame([(i, "ab"[i % 3 == 0], 1 + i % 7) for i in range(6000)] + [(9000, "c", 3), (9001, "z", 5), (9002, "a", 0)], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.4, 2), ("c", 0.05, 3), ("none", 0.05, 4)], "source string, target_share double, max_repeats int")
