@@ -156,20 +156,41 @@ PLAIN = re.compile("(?:(?:[А-ЯЁ]?[а-яё]+|[Ά-Ϋ]?[ά-ώΐ]+) ?)+")  # word
 SENTENCES = re.compile(r"(?<=[.!?;] )|(?<=\n)|(?<=\x0c)")
 
 
+def _pair(words: list[str]) -> tuple[float, str, str]:
+    """Score, (read as, really) of the encodings under which the words look best."""
+    score, _, a, b = max((_score([_recode(w, a, b) for w in words]), -k, a, b) for k, (a, b) in enumerate((a, b) for a in READ_AS for b in REALLY if a != b))
+    return score, a, b
+
+
 def _foreign_words(text: str) -> str:
-    """Cyrillic or Greek read with another one-byte encoding: the sentences whose letters do not look like either language."""
+    """Cyrillic or Greek read with another one-byte encoding: the sentences whose letters do not look like either language.
+
+    The encodings are chosen from all words of all such sentences; a sentence that stays unlike either language under them
+    takes its own, if those fit clearly better.
+    """
     parts = SENTENCES.split(text)
     words = [[w for w in HIGH_WORD.findall(s) if any(c.isalpha() for c in w)] for s in parts]
     bad = [k for k, w in enumerate(words) if len(w) > 1 and not PLAIN.fullmatch(" ".join(w)) and sum(map(len, w)) >= 10 and _score(w) < -3.2]
     if not bad:
         return text
-    sample = [w for k in bad for w in words[k]][:40]
-    shown = _score(sample)
-    score, _, a, b = max((_score([_recode(w, a, b) for w in sample]), -k, a, b) for k, (a, b) in enumerate((a, b) for a in READ_AS for b in REALLY if a != b))
-    if score < -3.0 or score < shown + 0.7:
-        return text
-    close = {k + d for k in bad for d in (-1, 1) if 0 <= k + d < len(parts) and sum(map(len, words[k + d])) < 10}
-    return "".join(_recode(s, a, b) if k in bad or (k in close and HIGH_WORD.search(s)) else s for k, s in enumerate(parts))
+    _, a, b = _pair([w for k in bad for w in words[k]])
+    groups: dict[tuple[str, str], list[int]] = {}
+    for k in bad:
+        score, pair = _score([_recode(w, a, b) for w in words[k]]), (a, b)
+        if len(bad) > 1 and score < -3.0 and (own := _pair(words[k]))[0] > score + 0.3 and own[0] >= -3.0:
+            pair = own[1:]
+        groups.setdefault(pair, []).append(k)
+    out = list(parts)
+    for (a, b), group in groups.items():
+        sample = [w for k in group for w in words[k]]
+        score = _score([_recode(w, a, b) for w in sample])
+        if score < -3.0 or score < _score(sample) + 0.7:
+            continue
+        close = {k + d for k in group for d in (-1, 1) if 0 <= k + d < len(parts) and sum(map(len, words[k + d])) < 10}
+        for k in {*group, *close}:
+            if k in group or HIGH_WORD.search(parts[k]):
+                out[k] = _recode(parts[k], a, b)
+    return "".join(out)
 
 
 FRAME = "─-▟"
@@ -238,8 +259,8 @@ def restore(text: str | None) -> tuple[str | None, bool, str]:
         return text, False, ""
     done, now = [], text
     high = len(HIGH_WORD.findall(text)) > 1
-    if high and (new := _foreign_words(now)) != now:
-        done.append("one-byte")
+    while high and (new := _foreign_words(now)) != now:
+        done += [] if done else ["one-byte"]
         now = new
     for _ in range(3):
         runs = set(RUN.findall(now))

@@ -195,3 +195,10 @@ def test_many_copies_of_one_text_give_no_pair_among_themselves(spark):
 
 def test_no_documents(spark):
     assert lookalike.same_look(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_sentences_broken_by_two_pairs():
+    good = "Договор аренды был подписан сторонами в присутствии нотариуса и передан в архив. Арендатор обязан вернуть помещение в исправном состоянии до конца года. "
+    one, two = good.encode("cp1251").decode("cp1252"), good.encode("koi8_r").decode("cp1251")
+    for text, want in ((one * 3 + good + two, good * 5), (one * 2 + two, good * 3)):
+        assert mojibake.restore(text)[:2] == (want, True)
