@@ -11,19 +11,20 @@ from docketry.session import cut
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the least node of its component). `nodes`: node; `edges`: a, b, in any direction, repeats allowed.
 
-    Each round takes the least label among the neighbours' and then the label of that label, so chains shrink by half or
-    more. Ends when nothing changes. Labels only ever travel as grouped minima: a node with very many edges costs one
-    partially aggregated row per task.
+    Only nodes with edges take part in the search; the others are components of their own. Labels start as the least
+    neighbour. Each round takes the least label among the neighbours' and, if any changed, the label of that label, so chains
+    shrink by half or more. Labels only ever travel as grouped minima: a node with very many edges costs one partially
+    aggregated row per task.
     """
-    both = cut(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
-    labels = cut(nodes.select("node").distinct().withColumn("component", F.col("node")))
+    real = edges.select("a", "b").filter("a <> b")
+    both = cut(real.unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("low"))
+        low = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low")))
+        if low.filter("low <> old").isEmpty():
+            found = nodes.select("node").distinct().join(labels, "node", "left")
+            return found.select("node", F.coalesce("component", "node").alias("component"))
         jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = cut(low.join(jump, "low").select("node", "old", F.least("low", "lower").alias("component")))
-        changed = not after.filter("component <> old").isEmpty()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+        labels = cut(low.join(jump, "low").select("node", F.least("low", "lower").alias("component")))
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +39,19 @@ def p4_restored(spark: SparkSession, base: str) -> DataFrame:
     return mojibake.restored(t(spark, base, "extracted")).filter("found")
 
 
+def _free_texts(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, bytes]:
+    """The three columns of free text, the given names of the catalogue, and the secret of the surrogates: `spark.docketry.surrogate.key` (hexadecimal), or where it is unset a fresh one for this run."""
+    people = t(spark, base, "people")
+    secret = spark.conf.get("spark.docketry.surrogate.key", None)
+    return privacy.texts(people, t(spark, base, "cases"), t(spark, base, "messages")), privacy.given_names(people), bytes.fromhex(secret) if secret else secrets.token_bytes(32)
+
+
 def p5_found(spark: SparkSession, base: str) -> DataFrame:
-    return privacy.found(privacy.texts(t(spark, base, "people"), t(spark, base, "cases"), t(spark, base, "messages")))
+    return privacy.found(*_free_texts(spark, base))
 
 
 def p5_redacted(spark: SparkSession, base: str) -> DataFrame:
-    return privacy.redacted(privacy.texts(t(spark, base, "people"), t(spark, base, "cases"), t(spark, base, "messages")))
+    return privacy.redacted(*_free_texts(spark, base))
 
 
 def p6_ids(spark: SparkSession, base: str) -> DataFrame:

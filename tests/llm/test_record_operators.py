@@ -69,6 +69,33 @@ def test_organisation_strings(spark):
     assert got == want  # the name without a line fits two organisations, so it stays alone
 
 
+@pytest.mark.parametrize("a, b", [("jenny", "jennifer"), ("nick", "nicholas"), ("chris", "christopher"), ("gus", "august"), ("peggy", "margaret")])
+def test_short_forms_meet_under_a_contact(a, b):
+    assert names.same_person(a, ["smith"], b, ["smith"], True)
+
+
+@pytest.mark.parametrize("a, b", [("john", "joan"), ("karin", "karen"), ("erik", "erika"), ("dana", "dara")])
+def test_names_that_lie_close_stay_apart(a, b):
+    assert names.same_person(a, ["smith"], b, ["smith"], False) == names.same_person(a, ["smith"], b, ["smith"], True) == 0
+
+
+def test_bearers_tell_a_slip_from_a_name():
+    assert names.same_person("dana", ["smith"], "dara", ["smith"], False, 900, 3) == 2
+    assert names.same_person("jhon", ["smith"], "john", ["smith"], False, 300, 400) == 0
+
+
+def test_a_family_of_short_forms(spark):
+    org = "Felsol Tagopa Logistics LLP"
+    rows = [("1", "Jennifer Smith", org), ("2", "Jenny Smith", org), ("3", "J. Smith", org), ("4", "John Miller", org), ("5", "Joan Miller", org), ("6", "Gus Miller", None, "m@x.test"), ("7", "August Miller", org, "m@x.test")]
+    assert pairs(spark, rows) == {("1", "2"), ("1", "3"), ("2", "3"), ("6", "7")}
+
+
+def test_legal_forms_of_many_countries(spark):
+    orgs = ["Casdi Zanruku B.V.", "Casdi Zanruku Oy", "Casdi Zanruku S.p.A.", "Casdi Zanruku Pty Ltd", "Casdi Zanruku Co.", "Casdi Zanruku"]
+    rows = [(str(i), f"Name{i} Family{i}", o) for i, o in enumerate(orgs)]
+    assert pairs(spark, rows, "organization") == set(itertools.combinations(sorted(orgs), 2))
+
+
 def test_slips_against_the_textbook():
     def osa(a, b):
         d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
@@ -146,6 +173,8 @@ def test_offsets_and_ties(spark):
     assert none.count() == 0
 
 
+KEY = b"key of the tests"
+
 # --- privacy -------------------------------------------------------------------------------------------------------
 
 
@@ -167,6 +196,26 @@ def test_mentions(text, want):
     assert [k for k, *_ in privacy.mentions(text)] == want
 
 
+# None of these names occurs in a table of the tests.
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Spoke to Olga Petrenko and Kenji Tanaka; mail from Priya Raghunathan.", ["Olga Petrenko", "Kenji Tanaka", "Priya Raghunathan"]),
+        ("Karen Whitfield called. Signed: Stephen Alexander Grant Whitfield", ["Karen Whitfield", "Stephen Alexander Grant Whitfield"]),
+        ("Говорил с Мария Иванова-Петрова, подпись: Иван Петров", ["Мария Иванова-Петрова", "Иван Петров"]),
+        ("Ο Γιώργος Παπαδόπουλος ήρθε; είδα τον κ. και τη Μαρία Νικολάου.", ["Γιώργος Παπαδόπουλος", "Μαρία Νικολάου"]),
+        ("Maria Helena da Silva Santos Oliveira reside aqui, com Mr Brian O'Connor e Frau Dr. Anne-Sophie Müller-Lüdenscheidt.", ["Maria Helena da Silva Santos Oliveira", "Mr Brian O'Connor", "Frau Dr. Anne-Sophie Müller-Lüdenscheidt"]),
+        ("Ludwig van der Berg's keys; J. R. Hartley and P. Hartley", ["Ludwig van der Berg", "J. R. Hartley", "P. Hartley"]),
+        ("MARIA WHITFIELD signed, THE DEED IS VOID.", ["MARIA WHITFIELD"]),
+        ("田中太郎様と鈴木さん", ["田中太郎", "鈴木"]),
+        ("Olga Petrenko Ltd, Olga Petrenko & Sons and Whitfield Holdings plc; Karen Whitfield Street; in New Haven; the Purchase Agreement; Der Schaden; See Art. 5", []),
+        ("Call Karen Whitfield Monday, Clause 3.", ["Karen Whitfield"]),
+    ],
+)
+def test_names_of_people_no_table_knows(text, want):
+    assert [text[a:b] for k, a, b in privacy.mentions(text) if k == "name"] == want
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
@@ -177,15 +226,28 @@ def test_mentions(text, want):
     ],
 )
 def test_names_in_small_letters(text, want):
-    assert [text[a:b] for k, a, b in privacy.mentions(text) if k == "name"] == want
+    assert [text[a:b] for k, a, b in privacy.mentions(text, known={"ivy", "hugh"}) if k == "name"] == want
+
+
+GIVEN_NAMES = [("ivy", 5), ("hugh", 5), ("bill", 3)]
+
+
+def lexicon(spark):
+    return spark.createDataFrame(GIVEN_NAMES, "word string, bearers long")
+
+
+def test_given_names_are_learned_from_a_column_of_names(spark):
+    rows = [("Zyta Aa", 1), ("Dr. Zyta Bb", 2), ("Cc, Zyta", 3), ("Zyta Cc", 4), ("Once Only", 5), (None, 6), ("", 7), ("Al B", 8)]
+    got = {r.word for r in privacy.given_names(spark.createDataFrame(rows, "full_name string, word int")).collect()}
+    assert got == {"zyta"}
 
 
 def test_ordinary_words_of_the_corpus_are_no_small_letter_names(spark):
     rows = [("cases", "1", "The bill hereunder is open, as hereunder shown."), ("cases", "2", "Paid hereunder."), ("cases", "3", "signed by ivy kurenmor hereunder, SSN 903-62-2129"), ("people", "4", "Ivy Kurenmor and ivy kurenmor")]
     rows = spark.createDataFrame(rows, "src string, record_id string, text string")
-    got = sorted((r.record_id, r.kind, r.nth) for r in privacy.found(rows).collect())
+    got = sorted((r.record_id, r.kind, r.nth) for r in privacy.found(rows, lexicon(spark), KEY).collect())
     assert got == [("3", "id_number", 1), ("3", "name", 1), ("4", "name", 1), ("4", "name", 2)]
-    out = {r.record_id: r for r in privacy.redacted(rows).collect()}
+    out = {r.record_id: r for r in privacy.redacted(rows, lexicon(spark), KEY).collect()}
     assert out["3"].text == "signed by [NAME] hereunder, SSN [ID_NUMBER]" and out["4"].text == "[NAME] and [NAME]"
     big, small = out["4"].surrogate_text.split(" and ")
     assert big.lower() == small and out["3"].surrogate_text.startswith(f"signed by {small} hereunder")
@@ -194,15 +256,47 @@ def test_ordinary_words_of_the_corpus_are_no_small_letter_names(spark):
 def test_redaction_changes_nothing_else(spark):
     text = "Spoke to Ivy Numofa (SSN 903-62-2129).\nMail ivy@x.test, ring 07700 900 779."
     rows = spark.createDataFrame([("messages", "1", text), ("messages", "1", text), ("cases", "1", "Nothing here."), ("people", "2", "Ms Numofa and IVY NUMOFA; Hugh Vodu")], "src string, record_id string, text string")
-    out = {(r.src, r.record_id): r for r in privacy.redacted(rows).collect()}
+    out = {(r.src, r.record_id): r for r in privacy.redacted(rows, lexicon(spark), KEY).collect()}
     assert out["messages", "1"].text == "Spoke to [NAME] ([ID_NUMBER]).\nMail [EMAIL], ring [PHONE].".replace("([ID_NUMBER]", "(SSN [ID_NUMBER]")
     assert out["cases", "1"].surrogate_text == "Nothing here." and len(out) == 3
     swapped = out["messages", "1"].surrogate_text
     assert "Ivy" not in swapped and "903" not in swapped and swapped.startswith("Spoke to ") and swapped.endswith(".")
     first = swapped.split("Spoke to ")[1].split(" (")[0]
-    assert first.split()[0] in privacy.FEMALE
     assert first.upper() in out["people", "2"].surrogate_text  # the same person, in the other format
-    assert privacy.found(rows).count() == 7
+    assert f"Ms {first.split()[1]} and" in out["people", "2"].surrogate_text
+    assert privacy.found(rows, lexicon(spark), KEY).count() == 7
+
+
+def test_rows_without_an_id_or_a_text_come_out(spark):
+    rows = [("people", None, "Ring 07700 900 779."), ("people", None, "Ring 07700 900 779."), ("people", None, None), ("cases", "1", None), ("cases", "2", ""), ("cases", "3", "x")]
+    out = sorted((r.record_id or "", r.text or "") for r in privacy.redacted(spark.createDataFrame(rows, "src string, record_id string, text string"), lexicon(spark), KEY).collect())
+    assert out == [("", ""), ("", "Ring [PHONE]."), ("", "Ring [PHONE]."), ("1", ""), ("2", ""), ("3", "x")]
+    none = spark.createDataFrame([], "src string, record_id string, text string")
+    assert privacy.redacted(none, lexicon(spark), KEY).count() == 0 and privacy.found(none, lexicon(spark), KEY).count() == 0
+
+
+def test_surrogates_keep_type_script_and_distinctness(spark):
+    values = ["J. Smith", "P. Smith", "John Smith", "Mr John Smith", "JOHN SMITH", "Иван Петров", "Μαρία Νικολάου", "田中太郎", "Maria da Silva", "Mr Brian O'Connor"]
+    rows = [("name", v) for v in values] + [("id_number", "164.676.802-78"), ("id_number", "34602958X"), ("phone", "+49 30 123456"), ("phone", "0049-30-123456")]
+    got = {r.value: r.surrogate for r in privacy.entity_surrogates(spark.createDataFrame(rows, "kind string, value string"), KEY).collect()}
+    assert got["J. Smith"] != got["P. Smith"] and got["J. Smith"].split()[1] == got["P. Smith"].split()[1] == got["John Smith"].split()[1]
+    assert got["Mr John Smith"] == f"Mr {got['John Smith']}" and got["JOHN SMITH"] == got["John Smith"].upper()
+    assert [privacy.script(got[v]) for v in ("Иван Петров", "Μαρία Νικολάου", "田中太郎")] == ["C", "G", "H"] and got["Maria da Silva"].split()[1] == "da"
+    assert got["+49 30 123456"].startswith("+49 ") and got["0049-30-123456"].startswith("0049-")
+    d = [int(c) for c in got["164.676.802-78"] if c.isdigit()]
+    for n in (9, 10):
+        rest = sum(x * w for x, w in zip(d[:n], range(n + 1, 1, -1))) % 11
+        assert d[n] == (0 if rest < 2 else 11 - rest)
+    assert "TRWAGMYFPDXBNJZSQVHLCKE"[int(got["34602958X"][:8]) % 23] == got["34602958X"][8]
+    assert not set(got.values()) & set(got)
+
+
+def test_the_key_is_needed_and_stays_out_of_the_plan(spark):
+    rows = spark.createDataFrame([("name", "Ivy Fam")], "kind string, value string")
+    plan = privacy.entity_surrogates(rows, b"topsecret")._jdf.queryExecution().toString()
+    assert "topsecret" not in plan and b"topsecret".hex() not in plan
+    with pytest.raises(TypeError):
+        privacy.redacted(rows, lexicon(spark))
 
 
 def test_surrogates_stay_distinct(spark):
