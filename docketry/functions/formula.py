@@ -1,7 +1,7 @@
 """The spreadsheet functions as Column builders over scalar columns and arrays (ranges).
 
-A function takes and returns Columns, so Catalyst sees through it. Errors travel as NULL; `error_code` names them where the
-caller knows which. Numbers are doubles. Ranges are arrays of strings or numbers; blanks and words in them do not count.
+A function takes and returns Columns, so Catalyst sees through it. Errors travel as NULL; `error_code` names them from the
+operands. Numbers are doubles. Ranges are arrays of strings or numbers; blanks and words in them do not count.
 """
 
 from __future__ import annotations
@@ -224,6 +224,29 @@ def sumif(r: Column, criterion: str, sums: Column | None = None) -> Column:
     return F.aggregate(kept, F.lit(0.0), lambda a, p: a + number(p["v"]))
 
 
+def error_code(op: str, *operands: Column) -> Column:
+    """The error of an operation over operands as typed in cells, NULL where there is none: `#VALUE!` for a word where a number is needed, `#DIV/0!` for a division by zero or a mean of nothing, `#NUM!` for a root of a negative number or a power without a value. An error among the operands goes through, the first one.
+
+    `op`: one of `+ - * / % ^` (two operands), `MOD`, `SQRT`, `POWER`, `AVERAGE` (one operand, a range).
+    """
+    if op == "AVERAGE":
+        return F.when(count(operands[0]) == 0, "#DIV/0!")
+    out = F.lit(None).cast("string")
+    for c in operands:
+        text = c.cast("string")
+        out = F.coalesce(out, F.when(text.rlike(r"^#[A-Z/0!?]+$"), text))
+    for c in operands:
+        out = F.coalesce(out, F.when(number(c).isNull() & c.isNotNull(), "#VALUE!"))
+    n = [F.coalesce(number(c), F.lit(0.0)) for c in operands]
+    if op in ("/", "MOD"):
+        out = F.coalesce(out, F.when(n[1] == 0, "#DIV/0!"))
+    if op == "SQRT":
+        out = F.coalesce(out, F.when(n[0] < 0, "#NUM!"))
+    if op in ("^", "POWER"):
+        out = F.coalesce(out, F.when(F.isnan(F.pow(n[0], n[1])) | (F.abs(F.pow(n[0], n[1])) == float("inf")), "#NUM!"))
+    return out
+
+
 def today() -> Column:
     return F.current_date()
 

@@ -118,6 +118,31 @@ def format_relative(then: Column, now: Column) -> Column:
     return F.when(s < 60, "just now").when(s < 3600, ago(60, "m")).when(s < 86400, ago(3600, "h")).when(s < 30 * 86400, ago(86400, "d")).otherwise(F.date_format(then, "yyyy-MM-dd"))
 
 
+def format_date(text: str | Column) -> Column:
+    """`Jan 5, 2024` of a date or time as text; what is no date comes back as it is."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "MMM d, yyyy"), c)
+
+
+# What an error text of a model service holds, and what kind of error it is.
+SERVICE_ERRORS = [("unreachable", "connection refused|could not connect|dns|unreachable"), ("timeout", "timed out|timeout|deadline"), ("unauthorized", "\\b401\\b|unauthorized|invalid api key"), ("missing model", "\\b404\\b|model .*not found|no such model"), ("rate limit", "\\b429\\b|rate limit|too many requests")]
+
+
+def service_error(error: str | Column) -> Column:
+    """The kind of error a service text tells of: the first that fits, else `other`; NULL and blank are none."""
+    c = F.lower(error)
+    out = F.lit("other")
+    for kind, pattern in reversed(SERVICE_ERRORS):
+        out = F.when(c.rlike(pattern), kind).otherwise(out)
+    return F.when(F.trim(c) != "", out)
+
+
+def same_model(a: Column, b: Column) -> Column:
+    """Whether two model names mean one model: a name without a tag has the tag `latest`."""
+    full = lambda m: F.when(m.contains(":"), m).otherwise(F.concat(m, F.lit(":latest")))
+    return full(a) == full(b)
+
+
 def valid_json(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 

@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def once(df: DataFrame, key: str = "id") -> DataFrame:
-    """Rows with repeated keys (identical copies) once."""
+    """Rows with repeated keys once. Copies are identical, so a filter goes before it and reaches the scan."""
     return df.dropDuplicates([key])
 
 
@@ -52,7 +52,7 @@ def with_count(df: DataFrame, key: str, many: DataFrame, many_key: str, name: st
 
 def case_list(cases: DataFrame, categories: DataFrame, files: DataFrame, case_people: DataFrame, search: str | None = None, category: str | None = None, status: str | None = None) -> DataFrame:
     """Cases with their category and the numbers of documents and people, newest change first. Filters are a real WHERE."""
-    kept = once(cases).filter(contains_any(search, "title", "reference", "description") & equal_or_all("category_id", category) & equal_or_all("status", status))
+    kept = once(cases.filter(contains_any(search, "title", "reference", "description") & equal_or_all("category_id", category) & equal_or_all("status", status)))
     named = kept.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("category_name"), F.col("color").alias("category_color")), "category_id", "left")
     full = with_count(with_count(named, "id", once(files), "case_id", "document_count"), "id", case_people.dropDuplicates(["case_id", "person_id"]), "case_id", "person_count")
     return full.select("id", "reference", "title", "status", "category_name", "category_color", "updated_at", "document_count", "person_count")
@@ -72,20 +72,40 @@ def category_breakdown(cases: DataFrame, categories: DataFrame) -> DataFrame:
 
 def people_list(people: DataFrame, case_people: DataFrame, search: str | None = None, role: str | None = None) -> DataFrame:
     """People with their number of cases, by name."""
-    kept = once(people).filter(contains_any(search, "full_name", "organization", "email") & equal_or_all("role", role))
+    kept = once(people.filter(contains_any(search, "full_name", "organization", "email") & equal_or_all("role", role)))
     return with_count(kept, "id", case_people.dropDuplicates(["case_id", "person_id"]), "person_id", "case_count").select("id", "full_name", "role", "organization", "email", "case_count")
 
 
 def roster(case_people: DataFrame, people: DataFrame, case_id: str | None = None) -> DataFrame:
-    """Who takes part in which case, with the role in the case and its place in the case's order (role, then name without ASCII case)."""
-    links = case_people.dropDuplicates(["case_id", "person_id"]).filter(equal_or_all("case_id", case_id))
+    """Who takes part in which case, with the role in the case. `place` gives the order inside a case."""
+    links = case_people.filter(equal_or_all("case_id", case_id)).dropDuplicates(["case_id", "person_id"])
     joined = links.join(once(people).select(F.col("id").alias("person_id"), "full_name", "role"), "person_id")
     return joined.select("case_id", "person_id", "role_in_case", "full_name", "role")
 
 
+def placed_roster(case_people: DataFrame, people: DataFrame, case_id: str | None = None) -> DataFrame:
+    """The roster with `place` from 1 in the order of each case: role in the case, then name, both without ASCII case, then id."""
+    order = W.partitionBy("case_id").orderBy(nocase("role_in_case").asc_nulls_first(), nocase("full_name").asc_nulls_first(), "person_id")
+    return roster(case_people, people, case_id).withColumn("place", F.row_number().over(order))
+
+
+def lookup(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
+    """Rows for keys asked for (`keys`: column `key`), one row per key: `found` says whether there is one, else all columns are NULL. A NULL key finds nothing."""
+    asked = keys.select(F.col(key).alias("__asked")).distinct()
+    rows = once(df, key).join(asked.select(F.col("__asked").alias(key)), key, "left_semi").withColumn("found", F.lit(True))
+    out = asked.join(rows, F.col("__asked") == F.col(key), "left")
+    return out.select(F.col("__asked").alias(key), *[c for c in df.columns if c != key], F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def with_case(df: DataFrame, cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """Rows (sheets, events, ...) with reference and title of their case; rows without a case keep NULLs."""
+    named = once(cases).select(F.col("id").alias("__case"), F.col("reference").alias("case_reference"), F.col("title").alias("case_title"))
+    return df.join(named, F.col(key) == F.col("__case"), "left").drop("__case")
+
+
 def file_list(files: DataFrame, cases: DataFrame, case_id: str | None = None, search: str | None = None) -> DataFrame:
     """Documents of the catalogue with reference and title of their case; both filters at once if both are given."""
-    kept = once(files).filter(equal_or_all("case_id", case_id) & contains_any(search, "file_name"))
+    kept = once(files.filter(equal_or_all("case_id", case_id) & contains_any(search, "file_name")))
     return kept.join(once(cases).select(F.col("id").alias("case_id"), F.col("reference").alias("case_reference"), F.col("title").alias("case_title")), "case_id", "left").select(
         "id", "file_name", "mime", "size_bytes", "index_status", "case_id", "case_reference", "case_title", "created_at"
     )
@@ -115,17 +135,18 @@ def next_reference(cases: DataFrame, tag: str = "CV") -> DataFrame:
     return used.select("year", F.format_string(f"%s-{tag}-%04d", "year", F.col("top") + 1).alias("next_reference"))
 
 
-def smallest_free(cases: DataFrame, tag: str = "CV", most: int = 999) -> DataFrame:
-    """Per year in use, the smallest number of 1..most that no reference has."""
+def smallest_free(cases: DataFrame, tag: str = "CV") -> DataFrame:
+    """Per year in use, the smallest number from 1 that no reference has."""
     number = F.regexp_extract("reference", rf"^(\d{{4}})-{tag}-0*(\d+)$", 2)
-    used = cases.filter(F.col("reference").rlike(rf"^\d{{4}}-{tag}-\d+$")).select(F.substring("reference", 1, 4).alias("year"), number.cast("long").alias("n")).filter(F.col("n").between(1, most)).distinct()
-    ranked = used.withColumn("gap", F.col("n") - F.row_number().over(W.partitionBy("year").orderBy("n")))
-    return ranked.groupBy("year").agg(F.least(F.count_if(F.col("gap") == 0) + 1, F.lit(most + 1)).alias("free_number"))
+    found = cases.filter(F.col("reference").rlike(rf"^\d{{4}}-{tag}-\d+$")).select(F.substring("reference", 1, 4).alias("year"), number.cast("long").alias("n"))
+    used = found.unionByName(found.select("year", F.lit(0).cast("long").alias("n"))).distinct()
+    after = used.select("year", (F.col("n") + 1).alias("n"))
+    return after.join(used, ["year", "n"], "left_anti").groupBy("year").agg(F.min("n").alias("free_number"))
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame, case_id: str | None = None) -> DataFrame:
     """Conversations with the number of their messages (each id once)."""
-    kept = once(conversations).filter(equal_or_all("case_id", case_id))
+    kept = once(conversations.filter(equal_or_all("case_id", case_id)))
     return with_count(kept, "id", once(messages), "conversation_id", "message_count").select("id", "title", "case_id", "updated_at", "message_count")
 
 
@@ -134,7 +155,7 @@ def history(messages: DataFrame, n: int = 12) -> DataFrame:
 
     A per-key top n: Spark keeps n rows per key and task before the shuffle, so a hot conversation does not pile up.
     """
-    told = once(messages).filter("role IN ('user', 'assistant') AND coalesce(error, '') = ''")
+    told = once(messages.filter("role IN ('user', 'assistant') AND coalesce(error, '') = ''"))
     newest = W.partitionBy("conversation_id").orderBy(F.desc("seq"), F.desc("id"))
     top = told.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= n)
     return top.select("conversation_id", "id", "role", "content", "back")
@@ -142,8 +163,8 @@ def history(messages: DataFrame, n: int = 12) -> DataFrame:
 
 def auto_title(conversations: DataFrame, messages: DataFrame, default: tuple[str, ...] = ("", "New conversation", "Untitled"), size: int = 60) -> DataFrame:
     """Conversations whose title is a default one, with the start of their first user message as title; without one they keep theirs."""
-    first = once(messages).filter(F.lower(F.trim("role")) == "user").groupBy(F.col("conversation_id").alias("id")).agg(F.min_by("content", F.struct("seq", F.col("id"))).alias("first"))
-    plain = once(conversations).filter(F.coalesce("title", F.lit("")).isin(*default))
+    first = once(messages.filter(F.lower(F.trim("role")) == "user")).groupBy(F.col("conversation_id").alias("id")).agg(F.min_by("content", F.struct("seq", F.col("id"))).alias("first"))
+    plain = once(conversations.filter(F.coalesce("title", F.lit("")).isin(*default)))
     return plain.join(first, "id", "left").select("id", F.coalesce(F.trim(F.substring("first", 1, size)), "title").alias("title"))
 
 

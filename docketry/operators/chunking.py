@@ -7,6 +7,7 @@ so it is a map over documents in Arrow batches that returns unit ranges; texts a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,32 +48,51 @@ def _pack(target: int, overlap: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())]))
+        kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("i", "j", "a", "b")]))
         for batch in batches:
-            packed = [[{"i": i, "j": j} for i, j in ranges(s or [])] for s in batch.column("sizes").to_pylist()]
+            packed = []
+            for sizes in batch.column("sizes").to_pylist():
+                before = [0, *accumulate(s + 1 for s in sizes or [])]
+                packed.append([{"i": i, "j": j, "a": before[i], "b": before[j] - 1} for i, j in ranges(sizes or [])])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, kind)], names=[*batch.schema.names, "ranges"])
 
     return run
 
 
-def chunks(extracted: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """Passages of documents (document_id, text, pages): chunk_id `document:n`, ordinal, start_off, end_off (bytes of the joined units), page, text, token_estimate.
-
-    Pages are cut one by one and packed together, the page of a passage is that of its first unit; documents without pages, or
-    whose pages hold nothing, are cut from their text with no page. NULL and blank documents have no passages. Repeated rows count once.
-    """
+def _packed(extracted: DataFrame, target: int, overlap: int) -> DataFrame:
+    """document_id, units, ranges: the units of each document with the passages as ranges of units and bytes."""
     once = extracted.select("document_id", "text", "pages").dropDuplicates(["document_id"])
     kind = "array<struct<u:string,page:int>>"
     paged = F.flatten(F.transform(F.coalesce("pages", F.array().cast("array<string>")), lambda p, k: F.transform(F.coalesce(units(p, target), F.array().cast("array<string>")), lambda u: F.struct(u.alias("u"), (k + 1).cast("int").alias("page")))))
     plain = F.transform(F.coalesce(units(F.col("text"), target), F.array().cast("array<string>")), lambda u: F.struct(u.alias("u"), F.lit(None).cast("int").alias("page")))
     cut = once.select("document_id", F.when(F.size(paged) > 0, paged).otherwise(plain).cast(kind).alias("units")).filter(F.size("units") > 0)
     sized = cut.withColumn("sizes", F.transform("units", lambda x: F.octet_length(x["u"])))
-    packed = sized.mapInArrow(_pack(target, overlap), f"document_id string, units {kind}, sizes array<int>, ranges array<struct<i:int,j:int>>")
-    each = packed.select("document_id", "units", "sizes", F.posexplode("ranges").alias("ordinal", "r"))
-    own = F.slice("units", F.col("r.i") + 1, F.col("r.j") - F.col("r.i"))
-    before = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0).cast("long"), lambda a, s: a + s + 1)
-    text = F.array_join(F.transform(own, lambda x: x["u"]), " ")
+    return sized.mapInArrow(_pack(target, overlap), f"document_id string, units {kind}, sizes array<int>, ranges array<struct<i:bigint,j:bigint,a:bigint,b:bigint>>").drop("sizes")
+
+
+def chunks(extracted: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """Passages of documents (document_id, text, pages): chunk_id `document:n`, ordinal, start_off, end_off (bytes of the joined units), page, text, token_estimate.
+
+    Pages are cut one by one and packed together, the page of a passage is that of its first unit; documents without pages, or
+    whose pages hold nothing, are cut from their text with no page. NULL and blank documents have no passages. Repeated rows count once.
+    """
+    def passage(r):
+        own = F.slice("units", (r["i"] + 1).cast("int"), (r["j"] - r["i"]).cast("int"))
+        return F.struct(r["a"].alias("start_off"), r["b"].alias("end_off"), F.get(F.col("units"), r["i"].cast("int"))["page"].alias("page"), F.array_join(F.transform(own, lambda x: x["u"]), " ").alias("text"))
+
+    # Passages are put together inside the row; only they are exploded, never the units with each of them.
+    each = _packed(extracted, target, overlap).select("document_id", F.posexplode(F.transform("ranges", passage)).alias("ordinal", "p"))
     return each.select(
-        F.concat("document_id", F.lit(":"), F.col("ordinal").cast("string")).alias("chunk_id"), "document_id", "ordinal", before(F.col("r.i")).alias("start_off"),
-        (before(F.col("r.j")) - 1).alias("end_off"), F.get(own, F.lit(0))["page"].alias("page"), text.alias("text"), token_estimate(text).alias("token_estimate"),
+        F.concat("document_id", F.lit(":"), F.col("ordinal").cast("string")).alias("chunk_id"), "document_id", "ordinal", "p.start_off", "p.end_off", "p.page", "p.text", token_estimate(F.col("p.text")).alias("token_estimate"),
     )
+
+
+def chunk_sizes(extracted: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """document_id, n_chunks, n_tokens (estimate): passages counted from their ranges, without building a text."""
+    size = F.aggregate("ranges", F.lit(0).cast("long"), lambda a, r: a + F.ceil((r["b"] - r["a"]) / 4.0) + 1)
+    return _packed(extracted, target, overlap).select("document_id", F.size("ranges").cast("long").alias("n_chunks"), size.alias("n_tokens"))
+
+
+def document_chunks(passages: DataFrame, document_ids: DataFrame) -> DataFrame:
+    """The passages of documents asked for (`document_ids`: document_id), in order: document_id, ordinal, chunk_id, page, text."""
+    return passages.join(document_ids.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "ordinal", "chunk_id", "page", "text")

@@ -41,6 +41,19 @@ def _embed(dim: int):
 
 
 def embed(texts: DataFrame, key: str, column: str, dim: int = DIM, embedder=None) -> DataFrame:
-    """key, embedding. `embedder` may be any function from batches of (id, text) to batches of (id, embedding), for a model service."""
+    """key, embedding. `embedder` may be any function from batches of (id, text) to batches of (id, embedding), for a model service; it must give a row for every row, in order, else the task fails."""
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(texts[key].alias("id"), texts[column].alias("text")).mapInArrow(embedder or _embed(dim), f"id {kind}, embedding array<float>").withColumnRenamed("id", key)
+    run = _checked(embedder) if embedder else _embed(dim)
+    return texts.select(texts[key].alias("id"), texts[column].alias("text")).mapInArrow(run, f"id {kind}, embedding array<float>").withColumnRenamed("id", key)
+
+
+def _checked(embedder):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = list(embedder(iter([batch])))
+            ids = [i for b in out for i in b.column(0).to_pylist()]
+            if ids != batch.column(0).to_pylist():
+                raise ValueError(f"the embedder gave {len(ids)} rows for {batch.num_rows}, or in another order")
+            yield from out
+
+    return run

@@ -65,3 +65,10 @@ def edges(nodes: DataFrame) -> DataFrame:
         "case_id", F.concat(F.lit("group:"), "kind").alias("source"), F.col("id").alias("target"), curve(d(GROUP_X + GROUP_W), F.col("gy") + H / 2, d(ITEM_X), F.col("y") + H / 2).alias("path")
     )
     return to_group.unionByName(to_item)
+
+
+def bounds(nodes: DataFrame) -> DataFrame:
+    """case_id, width, top, bottom: the box around the drawing of every case with something connected."""
+    y = items(nodes).groupBy("case_id").agg(F.min("y").alias("least"), F.max("y").alias("most"))
+    own = roots(nodes).select("case_id", F.col("y").alias("own"))
+    return y.join(own, "case_id").select("case_id", F.lit(ITEM_X + ITEM_W).alias("width"), F.least("least", "own").alias("top"), (F.greatest("most", "own") + H).alias("bottom"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.functions.text import snippet
+from docketry.functions.text import embed_input, snippet, task_prefix
 
 RRF_K = 60
 
@@ -53,8 +53,34 @@ def context_blocks(hits: DataFrame, nothing: str = "No matching passages were fo
     return block.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "b"))), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
-def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
-    """questions, recall at k, MRR. `ranked`: query_id, chunk_id, rank; `relevant`: query_id, chunk_id. A question counts with its best relevant hit, with 0 if it has none."""
+def metrics(ranked: DataFrame, relevant: DataFrame, k: int = 3, asked: DataFrame | None = None) -> DataFrame:
+    """questions, recall at k, MRR. `ranked`: query_id, chunk_id, rank; `relevant`: query_id, chunk_id. A question counts with its best relevant hit, with 0 if it has none.
+
+    `asked` (query_id): the questions that count; without it those of `relevant`. With it, `relevant` need hold hits only.
+    """
     best = ranked.join(relevant, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"))
-    all_ = relevant.select("query_id").distinct().join(best, "query_id", "left")
+    all_ = (relevant if asked is None else asked).select("query_id").distinct().join(best, "query_id", "left")
     return all_.agg(F.count("*").alias("questions"), F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias("recall"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+
+
+def context_only_recall(ranked: DataFrame, targets: DataFrame, k: int = 3) -> DataFrame:
+    """Recall at k over questions that only the context of a passage answers (`targets`: query_id, chunk_id, in_text): those whose passage does not hold the answer itself. 0 for a question whose target is not found; NULL without such questions."""
+    only = targets.filter("NOT in_text").select("query_id", "chunk_id")
+    hit = only.join(ranked.filter(F.col("rank") <= k), ["query_id", "chunk_id"], "left")
+    return hit.groupBy("query_id").agg(F.max(F.when(F.col("rank").isNotNull(), 1.0).otherwise(0.0)).alias("hit")).agg(F.count("*").alias("questions"), F.avg("hit").alias("recall"))
+
+
+def distinct_documents(hits: DataFrame) -> DataFrame:
+    """query_id, n_documents: from how many documents the hits of a question come."""
+    return hits.groupBy("query_id").agg(F.count_distinct("document_id").alias("n_documents"))
+
+
+# The recipes of an embedding input: whether the task prefix and the context header go in.
+RECIPES = [("plain", False, False), ("prefix", True, False), ("header", False, True), ("both", True, True)]
+
+
+def recipe_inputs(passages: DataFrame, model: str) -> DataFrame:
+    """Each passage (chunk_id, text, header) under each recipe: chunk_id, recipe, input. The rows of recipes are four."""
+    prefix = task_prefix(F.lit(model), False)
+    made = [F.struct(F.lit(name).alias("recipe"), embed_input(F.col("header") if header else F.lit(""), F.col("text"), prefix if with_prefix else None).alias("input")) for name, with_prefix, header in RECIPES]
+    return passages.select("chunk_id", F.explode(F.array(*made)).alias("r")).select("chunk_id", "r.recipe", "r.input")

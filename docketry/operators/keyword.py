@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.session import cut
+from docketry.session import cut, few
 
-K1, B, FLOOR, MOST_TERMS, PREFIX = 1.2, 0.75, 1e-6, 16, 3
+K1, B, FLOOR, MOST_TERMS = 1.2, 0.75, 1e-6, 16
 # Words without weight in a question, English and Portuguese.
 STOPWORDS = (
     "a an and are as at be by can did do does for from had has have how i in is it its me my of on or our please that the their there this to was we were what when "
@@ -53,31 +53,44 @@ def bm25(passages: DataFrame, questions: DataFrame, allowed: DataFrame | None =
     `passages`: chunk_id, text; `questions`: query_id, text; `allowed` (query_id, chunk_id or just chunk_id) narrows what may be
     found, never the statistics. score = sum of idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean size)).
     Terms that fold to the same prefix count each. Questions without terms find nothing.
+
+    Prefixes meet the vocabulary, cut to the lengths asked for, by equality. Postings of the prefixes are counted per passage,
+    weighed once per prefix, and put where their passage is; there they meet the questions, so adding up needs no further
+    shuffle and `best` keeps k rows per question and task.
     """
     words = cut(passages.select("chunk_id", tokens("text").alias("words")))  # texts are split once
     stats = words.agg(F.count("*").alias("n_all"), F.avg(F.coalesce(F.size("words"), F.lit(0))).alias("mean_size"))
-    posts = words.select("chunk_id", F.size("words").alias("size"), F.explode("words").alias("token"))
-    asked = questions.select("query_id", F.explode(terms("text")).alias("term")).withColumn("prefix", folded("term"))
+    asked = cut(questions.select("query_id", F.explode(terms("text")).alias("term")).select("query_id", folded("term").alias("prefix")))
     prefixes = asked.select("prefix").distinct()
-    # A token meets the terms that begin with its own first letters: an equi-join on those, then the prefix test.
-    head = lambda c, n: F.substring(c, 1, n)
-    long = prefixes.filter(F.length("prefix") >= PREFIX).withColumn("head", head("prefix", PREFIX))
-    vocabulary = posts.select("token").distinct()
-    met = vocabulary.withColumn("head", head("token", PREFIX)).join(long, "head").filter("startswith(token, prefix)").select("token", "prefix")
-    short = prefixes.filter(F.length("prefix") < PREFIX)
-    for n in range(1, PREFIX):
-        met = met.unionByName(vocabulary.withColumn("prefix", head("token", n)).filter(F.length("token") >= n).join(short.filter(F.length("prefix") == n), "prefix").select("token", "prefix"))
-    found = cut(posts.join(met, "token").groupBy("prefix", "chunk_id", "size").agg(F.count("*").cast("double").alias("tf")))
+    lengths = prefixes.agg(F.collect_set(F.length("prefix")).alias("lengths"))  # one row: the different lengths of terms
+    vocabulary = words.select(F.explode("words").alias("token")).distinct()
+    cuts = F.transform(F.filter("lengths", lambda n: n <= F.length("token")), lambda n: F.substring(F.col("token"), F.lit(1), n))
+    met = cut(vocabulary.crossJoin(F.broadcast(lengths)).select("token", F.explode(cuts).alias("prefix")).join(prefixes, "prefix", "left_semi"))
+    posts = words.select("chunk_id", F.size("words").alias("size"), F.explode("words").alias("token"))
+    found = cut(posts.join(few(met), "token").groupBy("chunk_id", "size", "prefix").agg(F.count("*").cast("double").alias("tf")))
     df = found.groupBy("prefix").agg(F.count("*").cast("double").alias("df"))
-    weight = F.ln((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    scored = found.join(df, "prefix").crossJoin(F.broadcast(stats)).select(  # one row of statistics
-        "prefix", "chunk_id",
-        (F.when(weight > 0, weight).otherwise(F.lit(FLOOR)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))).alias("part"),
-    )
-    hits = asked.select("query_id", "prefix").join(scored, "prefix")
-    if allowed is not None:
-        hits = hits.join(allowed, [c for c in ("query_id", "chunk_id") if c in allowed.columns], "left_semi")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score"))
+    idf = F.ln((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = cut(df.crossJoin(F.broadcast(stats)).select("prefix", F.when(idf > 0, idf).otherwise(F.lit(FLOOR)).alias("weight"), "mean_size"))  # one row of statistics
+    open_ = found if allowed is None or "query_id" in allowed.columns else found.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    scored = open_.join(few(weights), "prefix").select("prefix", "chunk_id", part.alias("part")).repartition("chunk_id")
+    hits = scored.join(few(asked), "prefix").groupBy("chunk_id", "query_id").agg(F.sum("part").alias("score"))
+    if allowed is not None and "query_id" in allowed.columns:
+        hits = hits.join(allowed, ["query_id", "chunk_id"], "left_semi")
+    return hits.select("query_id", "chunk_id", "score")
+
+
+def ready(passages: DataFrame, files: DataFrame, key: str = "document_id") -> DataFrame:
+    """chunk_id of the passages whose document is `Ready` in the catalogue: what a search may show (`allowed` of `bm25`)."""
+    done = files.filter("index_status = 'Ready'").select(F.col("id").alias(key)).distinct()
+    return passages.join(done, key, "left_semi").select("chunk_id")
+
+
+def view(hits: DataFrame, passages: DataFrame, documents: DataFrame, cases: DataFrame, limit: int = 12) -> DataFrame:
+    """The search view: at most `limit` hits a question (brought into 1..50), scores scaled by the best, with text, document and case; hits whose passage is gone are left out."""
+    from docketry.operators.hybrid import hydrate
+
+    return hydrate(scaled(best(hits, min(max(limit, 1), 50))), passages, documents, cases)
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:

@@ -36,9 +36,9 @@ def pasted(blocks: DataFrame, rows: int = 200, cols: int = 26) -> DataFrame:
 
 
 def references(formulas: DataFrame) -> DataFrame:
-    """Cells that formulas read: sheet_id, r, c (the formula), rr, rc (what it reads); ranges are spread out, any corners, once each."""
+    """Cells that formulas read: sheet_id, r, c (the formula), rr, rc (what it reads); ranges are spread out, any corners, once each. Texts in quotes and the ends of longer words hold no reference."""
     ref = r"\$?([A-Za-z]{1,3})\$?([0-9]{1,7})"
-    found = formulas.select("sheet_id", "r", "c", F.explode(F.regexp_extract_all("f", F.lit(rf"(\$?[A-Za-z]{{1,3}}\$?[0-9]{{1,7}}(?::\$?[A-Za-z]{{1,3}}\$?[0-9]{{1,7}})?)(?![A-Za-z0-9(])"), F.lit(1))).alias("t"))
+    found = formulas.select("sheet_id", "r", "c", F.explode(F.regexp_extract_all(F.regexp_replace("f", '"(?:[^"]|"")*"', '""'), F.lit(rf"(?<![A-Za-z0-9_$.])(\$?[A-Za-z]{{1,3}}\$?[0-9]{{1,7}}(?::\$?[A-Za-z]{{1,3}}\$?[0-9]{{1,7}})?)(?![A-Za-z0-9(])"), F.lit(1))).alias("t"))
     a, b = F.split_part("t", F.lit(":"), F.lit(1)), F.when(F.col("t").contains(":"), F.split_part("t", F.lit(":"), F.lit(2))).otherwise(F.col("t"))
     at = lambda x, g: (F.regexp_extract(x, ref, 2).cast("int") - 1) if g == 2 else column_index(F.regexp_extract(x, ref, 1))
     box = found.select("sheet_id", "r", "c", at(a, 2).alias("r1"), at(b, 2).alias("r2"), at(a, 1).alias("c1"), at(b, 1).alias("c2"))

@@ -17,8 +17,9 @@ KINDS = ["case", "document", "person", "sheet", "event"]
 MENTION = r"(?<![\w.@-])@([A-Za-z0-9][A-Za-z0-9._/-]*)"
 
 
-def tree_nodes(cases: DataFrame, files: DataFrame, case_people: DataFrame, people: DataFrame) -> DataFrame:
-    """All nodes without their ordinal: cases by newest change, documents by newest import, one person node per case by name.
+def tree_nodes(cases: DataFrame, files: DataFrame, case_people: DataFrame, people: DataFrame, sheets: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """All nodes without their ordinal: cases by newest change, documents by newest import, one person node per case by name,
+    sheets (id, title, case_id, rows, cols, updated_at) by newest change and events (id, title, case_id, kind, starts_at) by newest start, where given.
 
     The key of a filed node is the case reference and its own name in lower case; an unfiled document has its name alone and
     hangs off the root. Columns sort_time and sort_text hold what orders a kind.
@@ -43,7 +44,24 @@ def tree_nodes(cases: DataFrame, files: DataFrame, case_people: DataFrame, peopl
         F.col("full_name").alias("label"), F.concat(F.lit("case:"), "case_id").alias("parent_id"), F.lit(1).alias("depth"),
         F.coalesce(F.nullif("role_in_case", F.lit("")), "role").alias("status"), F.nullif("organization", F.lit("")).alias("detail"), "case_id", none.alias("document_id"), F.lit(None).cast("timestamp_ntz").alias("sort_time"), F.col("full_name").alias("sort_text"),
     )
-    return case_nodes.unionByName(doc_nodes).unionByName(person_nodes)
+    out = case_nodes.unionByName(doc_nodes).unionByName(person_nodes)
+    if sheets is not None:
+        size = F.concat(F.col("rows").cast("string"), F.lit(" x "), F.col("cols").cast("string"))
+        out = out.unionByName(_filed(once(sheets).join(ref, "case_id", "left"), "sheet", size, none, "updated_at"))
+    if events is not None:
+        out = out.unionByName(_filed(once(events).join(ref, "case_id", "left"), "event", F.col("kind"), F.col("starts_at").cast("string"), "starts_at"))
+    return out
+
+
+def _filed(rows: DataFrame, kind: str, status: Column, detail: Column, time: str) -> DataFrame:
+    """Nodes of titled rows that may hang off a case."""
+    filed = F.col("case_id").isNotNull()
+    leaf = F.lower("title")
+    return rows.select(
+        F.concat(F.lit(f"{kind}:"), "id").alias("id"), F.when(F.col("ref").isNotNull(), F.concat("ref", F.lit("/"), leaf)).otherwise(leaf).alias("node_key"), F.lit(kind).alias("kind"), F.col("title").alias("label"),
+        F.when(filed, F.concat(F.lit("case:"), "case_id")).alias("parent_id"), F.when(filed, 1).otherwise(0).alias("depth"), status.alias("status"), detail.alias("detail"), "case_id",
+        F.lit(None).cast("string").alias("document_id"), F.col(time).alias("sort_time"), F.lit(None).cast("string").alias("sort_text"),
+    )
 
 
 def kind_rank(kind: str = "kind") -> Column:
@@ -109,10 +127,51 @@ def mentioned_documents(found: DataFrame, nodes: DataFrame, key: str) -> DataFra
 
 
 def segments(texts: DataFrame, key: str, column: str) -> DataFrame:
-    """key, place, kind (text or mention), value: parts whose values put together give the text back."""
-    parts = F.filter(F.split(F.regexp_replace(column, MENTION, "\u0001@$1\u0001"), "\u0001"), lambda s: s != "")
-    out = texts.select(key, F.posexplode(parts).alias("p", "value"))
-    return out.select(key, (F.col("p") + 1).alias("place"), F.when(F.col("value").rlike(r"^@[A-Za-z0-9][A-Za-z0-9._/-]*$"), "mention").otherwise("text").alias("kind"), "value")
+    """key, place, kind (text or mention), value: parts whose values put together give the text back, whatever signs it holds."""
+    between = F.split(column, MENTION, -1)
+    found = F.regexp_extract_all(column, F.lit(MENTION), F.lit(0))
+    part = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    pairs = F.flatten(F.transform(between, lambda t, i: F.array(part("text", t), part("mention", F.get(found, i)))))
+    out = texts.select(key, F.posexplode(F.filter(pairs, lambda x: x["value"] != "")).alias("p", "x"))
+    return out.select(key, (F.col("p") + 1).alias("place"), "x.kind", "x.value")
+
+
+def mention_spans(texts: DataFrame, key: str, column: str) -> DataFrame:
+    """key, handle (lower case), start, end (characters from 0, the @ included) of each mention."""
+    at = W.partitionBy(key).orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    placed = segments(texts, key, column).withColumn("end", F.sum(F.length("value")).over(at))
+    return placed.filter("kind = 'mention'").select(key, F.lower(F.substring("value", 2, 1 << 30)).alias("handle"), (F.col("end") - F.length("value")).alias("start"), "end")
+
+
+def linked_segments(parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Segments with the node their mention names (`node_id`; NULL for texts and for handles of no node); of nodes with one key the first in the tree."""
+    first = nodes.groupBy(F.lower("node_key").alias("handle")).agg(F.min_by("id", "ordinal").alias("node_id"))
+    return parts.withColumn("handle", F.when(F.col("kind") == "mention", F.lower(F.substring("value", 2, 1 << 30)))).join(first, "handle", "left").drop("handle")
+
+
+def fragment_at(text: Column, caret: Column) -> Column:
+    """What has been typed of a mention before the caret, without the @; NULL where no mention is being typed."""
+    before = F.substring(text, F.lit(1), caret)
+    open_ = r"(?<![\w.@-])@([A-Za-z0-9][A-Za-z0-9._/-]*)?$"
+    return F.when(before.rlike(open_), F.regexp_extract(before, open_, 1))
+
+
+def row_nodes(rows: DataFrame, nodes: DataFrame, kind: str, key: str = "id") -> DataFrame:
+    """Table rows with `node_id`: the node of that kind for the row's key, of several the last in the tree; NULL without one."""
+    own = nodes.filter(F.col("kind") == kind).select(target(F.col("id"))["key"].alias("__key"), "id", "ordinal").groupBy("__key").agg(F.max_by("id", "ordinal").alias("node_id"))
+    return rows.join(own, F.col(key) == F.col("__key"), "left").drop("__key")
+
+
+# Commands that begin with a slash, and what they are expanded to.
+COMMANDS = [("summarize", "Summarize {}"), ("compare", "Compare {} with "), ("dates", "List every date mentioned in {}"), ("draft", "Draft a letter about {}")]
+
+
+def slash_commands(typed: DataFrame, key: str, column: str, commands: DataFrame) -> DataFrame:
+    """key, name, expanded: the commands (`commands`: name, template) whose name begins with what stands behind the slash at the start of the text; the words behind it take the place of {} in the template. Commands meet texts by their own beginnings, an equality."""
+    words = F.regexp_extract(column, r"^/(\S*)", 1)
+    asked = typed.filter(F.col(column).startswith("/")).select(key, F.lower(words).alias("q"), F.trim(F.regexp_replace(column, r"^/\S*", "")).alias("rest"))
+    starts = commands.select("name", "template", F.explode(F.transform(F.sequence(F.lit(0), F.length("name")), lambda n: F.substring(F.lower("name"), F.lit(1), n))).alias("q"))
+    return asked.join(starts, "q").select(key, "name", F.replace("template", F.lit("{}"), F.col("rest")).alias("expanded"))
 
 
 def mention_score(q: Column) -> Column:
@@ -143,18 +202,15 @@ def quick_find(nodes: DataFrame, text: str, per_kind: int = 5) -> DataFrame:
 def resolve(nodes: DataFrame, fragments: DataFrame) -> DataFrame:
     """fragment, id, more: the first node whose key starts with the fragment, or failing that whose last part does; and how many others do.
 
-    Handles and fragments meet on their first letters, an equi-join, for many fragments at once.
+    Keys are cut to the lengths the fragments have and meet them whole, an equi-join for many fragments at once.
     """
     f = fragments.select(F.lower(F.trim("fragment")).alias("q"), "fragment").filter("q <> ''")
+    lengths = f.agg(F.collect_set(F.length("q")).alias("lengths"))  # one row: the different lengths
     k = F.lower("node_key")
     keys = nodes.select("id", "ordinal", k.alias("k"), F.lit(1).alias("step"))
     leaves = nodes.filter(k.contains("/")).select("id", "ordinal", F.element_at(F.split(k, "/"), -1).alias("k"), F.lit(2).alias("step"))
-    all_ = keys.unionByName(leaves)
-    parts = []
-    for n in (1, 2, 3):
-        own = f.filter(F.length("q") >= 3) if n == 3 else f.filter(F.length("q") == n)
-        parts.append(all_.withColumn("h", F.substring("k", 1, n)).join(own.withColumn("h", F.substring("q", 1, n)), "h").filter("startswith(k, q)"))
-    met = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    cuts = F.transform(F.filter("lengths", lambda n: n <= F.length("k")), lambda n: F.substring(F.col("k"), F.lit(1), n))
+    met = keys.unionByName(leaves).crossJoin(F.broadcast(lengths)).select("id", "ordinal", "k", "step", F.explode(cuts).alias("q")).join(f, "q")
     best = met.groupBy("fragment", "step").agg(F.min_by("id", F.struct("k", "ordinal")).alias("id"), (F.count("*") - 1).alias("more"))
     return best.groupBy("fragment").agg(F.min_by(F.struct("id", "more"), "step").alias("b")).select("fragment", "b.id", "b.more")
 

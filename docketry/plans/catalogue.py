@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docketry.operators import catalog as c
 from docketry.operators import consistency as w
+from docketry.operators.ordering import numbered
 from docketry.session import read_table as t
 
 NOW = "2022-06-15 12:00:00"
@@ -23,6 +24,42 @@ def _edits(s, b):
     )
 
 
+def sheets(s, b):
+    """Conversations stand for sheets: they have a title, a case and a time of change."""
+    return c.once(t(s, b, "conversations")).select("id", "title", "case_id", F.lit(200).alias("rows"), F.lit(26).alias("cols"), F.lit("{}").alias("cells"), "created_at", "updated_at")
+
+
+def case_events(s, b):
+    """Imports of files stand for the events of cases."""
+    return c.once(t(s, b, "files")).select("id", F.col("file_name").alias("title"), "case_id", F.col("index_status").alias("kind"), F.col("created_at").alias("starts_at"), F.lit(None).cast("timestamp_ntz").alias("ends_at"), "created_at")
+
+
+def _event_edits(s, b):
+    """Events whose id begins with a get a new title and no kind, b a blank title (refused), c no start (refused); d comes in anew under another id."""
+    first = F.substring("id", 1, 1)
+    old = case_events(s, b).filter(first.isin("a", "b", "c", "d"))
+    return old.select(
+        F.when(first == "d", F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), F.when(first == "b", " ").otherwise(F.concat(F.lit("Re: "), "title")).alias("title"), "case_id",
+        F.lit("").alias("kind"), F.when(first != "c", F.col("starts_at")).alias("starts_at"), F.lit(None).cast("timestamp_ntz").alias("ends_at"), F.lit(None).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
+def _sheet_edits(s, b):
+    """Sheets whose id begins with a get cells, b cells that are no JSON (refused); c comes in anew under another id without anything."""
+    first = F.substring("id", 1, 1)
+    none = lambda kind: F.lit(None).cast(kind)
+    return sheets(s, b).filter(first.isin("a", "b", "c")).select(
+        F.when(first == "c", F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), none("string").alias("title"), none("string").alias("case_id"), none("int").alias("rows"), none("int").alias("cols"),
+        F.when(first == "a", '{"A1": "1"}').when(first == "b", "{broken").alias("cells"), none("timestamp_ntz").alias("created_at"), none("timestamp_ntz").alias("updated_at"),
+    )
+
+
+def _wanted_cases(s, b):
+    """The cases that files are filed under, and as many keys that no case has."""
+    ids = t(s, b, "files").select(F.col("case_id").alias("id")).filter("id IS NOT NULL").distinct()
+    return ids.unionByName(ids.select(F.concat(F.lit("no-"), "id").alias("id")))
+
+
 def _gone(s, b):
     return c.once(t(s, b, "cases")).filter("substring(id, 1, 1) IN ('1', '2')").select("id")
 
@@ -42,6 +79,14 @@ QUERIES = {
     "case_list_filtered": lambda s, b: c.case_list(*[t(s, b, x) for x in ("cases", "categories", "files", "case_people")], search=" warehouse ", status="Open"),
     "people_search": lambda s, b: c.people_list(t(s, b, "people"), t(s, b, "case_people"), search="holdings"),
     "case_roster": lambda s, b: c.roster(t(s, b, "case_people"), t(s, b, "people")),
+    "roster_order": lambda s, b: c.placed_roster(t(s, b, "case_people"), t(s, b, "people")).select("case_id", "person_id", "place"),
+    "people_by_name": lambda s, b: numbered(c.once(t(s, b, "people")).select("id", "full_name"), [c.nocase("full_name"), F.col("id")], "place", 1).select("id", "place"),
+    "case_lookup": lambda s, b: c.lookup(t(s, b, "cases").select("id", "reference", "title"), _wanted_cases(s, b)),
+    "sheets_with_case": lambda s, b: c.with_case(sheets(s, b), t(s, b, "cases")).select("id", "title", "case_id", "case_reference", "case_title"),
+    "events_with_case": lambda s, b: c.with_case(case_events(s, b), t(s, b, "cases")).select("id", "title", "kind", "case_id", "case_reference", "case_title"),
+    "merge_events": lambda s, b: w.upsert_events(case_events(s, b), _event_edits(s, b), NOW).select("id", "title", "case_id", "kind", "starts_at", "created_at"),
+    "merge_sheets": lambda s, b: w.upsert_sheets(sheets(s, b), _sheet_edits(s, b), NOW).select("id", "title", "rows", "cols", "cells", "updated_at"),
+    "case_files": lambda s, b: c.file_list(t(s, b, "files").join(c.once(t(s, b, "cases")).filter("status = 'Open'").select(F.col("id").alias("case_id")), "case_id", "left_semi"), t(s, b, "cases")).select("id", "case_id", "case_reference"),
     "file_list_filtered": lambda s, b: c.file_list(t(s, b, "files"), t(s, b, "cases"), search="lease"),
     "recent_documents": lambda s, b: c.recent(c.file_list(t(s, b, "files"), t(s, b, "cases")), "created_at", 8),
     "next_reference": lambda s, b: c.next_reference(t(s, b, "cases")),
@@ -79,6 +124,20 @@ SQL = {
     "people_search": f"""SELECT id, full_name, role, organization, email, (SELECT count(*) FROM {LINKS} l WHERE l.person_id = p.id) AS case_count FROM (SELECT DISTINCT * FROM people) p
         WHERE contains(lower(full_name), 'holdings') OR contains(lower(organization), 'holdings') OR contains(lower(email), 'holdings')""",
     "case_roster": """SELECT l.case_id, l.person_id, l.role_in_case, p.full_name, p.role FROM (SELECT DISTINCT * FROM case_people) l JOIN (SELECT DISTINCT * FROM people) p ON p.id = l.person_id""",
+    "roster_order": """SELECT case_id, person_id, row_number() OVER (PARTITION BY case_id ORDER BY translate(role_in_case, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NULLS FIRST, translate(full_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NULLS FIRST, person_id) AS place
+        FROM (SELECT DISTINCT * FROM case_people) l JOIN (SELECT DISTINCT * FROM people) p ON p.id = l.person_id""",
+    "people_by_name": "SELECT id, row_number() OVER (ORDER BY translate(full_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') NULLS FIRST, id) AS place FROM (SELECT DISTINCT id, full_name FROM people)",
+    "case_lookup": """WITH k AS (SELECT DISTINCT case_id AS id FROM files WHERE case_id IS NOT NULL), a AS (SELECT id FROM k UNION ALL SELECT 'no-' || id FROM k)
+        SELECT a.id, reference, title, c.id IS NOT NULL AS found FROM a LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = a.id""",
+    "sheets_with_case": "SELECT v.id, v.title, v.case_id, c.reference AS case_reference, c.title AS case_title FROM (SELECT DISTINCT * FROM conversations) v LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = v.case_id",
+    "events_with_case": "SELECT f.id, file_name AS title, index_status AS kind, f.case_id, c.reference AS case_reference, c.title AS case_title FROM (SELECT DISTINCT * FROM files) f LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = f.case_id",
+    "merge_events": """WITH f AS (SELECT DISTINCT * FROM files)
+        SELECT id, CASE WHEN id[1] = 'a' THEN 'Re: ' || file_name ELSE file_name END AS title, case_id, CASE WHEN id[1] = 'a' THEN 'Deadline' ELSE index_status END AS kind, created_at AS starts_at, created_at FROM f
+        UNION ALL SELECT 'new-' || id, 'Re: ' || file_name, case_id, 'Deadline', created_at, TIMESTAMP '2022-06-15 12:00:00' FROM f WHERE id[1] = 'd' AND created_at IS NOT NULL""",
+    "merge_sheets": """WITH v AS (SELECT DISTINCT * FROM conversations)
+        SELECT id, title, 200 AS rows, 26 AS cols, CASE WHEN id[1] = 'a' THEN '{"A1": "1"}' ELSE '{}' END AS cells, CASE WHEN id[1] = 'a' THEN TIMESTAMP '2022-06-15 12:00:00' ELSE updated_at END AS updated_at FROM v
+        UNION ALL SELECT 'new-' || id, NULL, 200, 26, '{}', TIMESTAMP '2022-06-15 12:00:00' FROM v WHERE id[1] = 'c'""",
+    "case_files": "SELECT f.id, f.case_id, c.reference AS case_reference FROM (SELECT DISTINCT * FROM files) f JOIN (SELECT DISTINCT * FROM cases) c ON c.id = f.case_id WHERE c.status = 'Open'",
     "file_list_filtered": """SELECT f.id, file_name, mime, size_bytes, index_status, f.case_id, c.reference AS case_reference, c.title AS case_title, f.created_at
         FROM (SELECT DISTINCT * FROM files) f LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = f.case_id WHERE contains(lower(file_name), 'lease')""",
     "recent_documents": """SELECT f.id, file_name, mime, size_bytes, index_status, f.case_id, c.reference AS case_reference, c.title AS case_title, f.created_at
@@ -86,9 +145,9 @@ SQL = {
     "next_reference": r"""SELECT year, printf('%s-CV-%04d', year, top + 1) AS next_reference FROM (
         SELECT regexp_extract(reference, '^(\d{4})-CV-(\d+)', 1) AS year, max(CAST(regexp_extract(reference, '^(\d{4})-CV-(\d+)', 2) AS BIGINT)) AS top
         FROM cases WHERE regexp_matches(reference, '^\d{4}-CV-\d+') GROUP BY 1)""",
-    "smallest_free_reference": r"""WITH u AS (SELECT DISTINCT reference[1:4] AS year, CAST(regexp_extract(reference, '^(\d{4})-CV-0*(\d+)$', 2) AS BIGINT) AS n FROM cases WHERE regexp_matches(reference, '^\d{4}-CV-0*[1-9]\d*$')),
-        y AS (SELECT DISTINCT year FROM u WHERE n <= 999)
-        SELECT year, (SELECT min(i) FROM range(1, 1001) r(i) WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.year = y.year AND u.n = i)) AS free_number FROM y""",
+    "smallest_free_reference": r"""WITH u AS (SELECT DISTINCT reference[1:4] AS year, CAST(regexp_extract(reference, '^(\d{4})-CV-0*(\d+)$', 2) AS BIGINT) AS n FROM cases WHERE regexp_matches(reference, '^\d{4}-CV-\d+$')),
+        c AS (SELECT year, n + 1 AS i FROM u UNION SELECT year, 1 FROM u)
+        SELECT year, min(i) AS free_number FROM c WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.year = c.year AND u.n = c.i) GROUP BY year""",
     "conversation_list": "SELECT id, title, case_id, updated_at, (SELECT count(DISTINCT m.id) FROM messages m WHERE m.conversation_id = c.id) AS message_count FROM (SELECT DISTINCT * FROM conversations) c",
     "recent_history": """SELECT conversation_id, id, role, content, back FROM (
         SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC, id DESC) AS back FROM (SELECT DISTINCT ON (id) * FROM messages) WHERE role IN ('user', 'assistant') AND coalesce(error, '') = '') WHERE back <= 12""",

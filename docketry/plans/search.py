@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docketry.operators import hybrid, keyword, vectors
 from docketry.operators.catalog import once
-from docketry.session import cut
+from docketry.session import cut, shared_dir
 from docketry.session import read_table as t
 
 EVERY = 50
@@ -52,15 +54,64 @@ def _hits(s, b):
 
 def _metrics(s, b):
     v, q = t(s, b, "embeddings"), _vector_questions(s, b)
-    found = vectors.knn(v, q, 40).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"), F.col("rank"))
-    relevant = q.select("query_id", "label").join(v.select(F.col("vec_id").alias("chunk_id"), "label"), "label").filter("chunk_id <> query_id").select("query_id", "chunk_id")
-    m = hybrid.metrics(found, relevant)
+    labels = v.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("its"))
+    found = vectors.knn(v, q, 40).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("chunk_id"), "rank")
+    relevant = found.join(labels, "chunk_id").join(q.select("query_id", "label"), "query_id").filter("its = label").select("query_id", "chunk_id")
+    asked = q.join(v.groupBy("label").count().filter(F.col("count") > 1), "label", "left_semi").select("query_id")
+    m = hybrid.metrics(found, relevant, asked=asked)
     return m.select("questions", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
 
 
+CELLS, PROBES = 16, 12
+
+
+def _index(s, b):
+    """An index of the vectors in the shared folder, built for this run."""
+    folder = f"{shared_dir(s)}/docketry-index-{uuid.uuid4().hex}"
+    vectors.build_index(t(s, b, "embeddings"), folder, cells=CELLS)
+    return folder
+
+
 def _ivf(s, b):
+    return vectors.search(t(s, b, "embeddings"), _vector_questions(s, b).select("query_id", "embedding"), 10, _index(s, b), PROBES)
+
+
+def _ivf_recall(s, b):
+    """Whether the index finds nine tenths of the true neighbours, with the parameters of `knn_ivf`."""
+    exact = vectors.knn(t(s, b, "embeddings"), _vector_questions(s, b), 10)
+    return vectors.recall(_ivf(s, b), exact).select((F.col("recall") >= 0.9).alias("enough"))
+
+
+def _index_state(s, b):
+    """What the index needs after a tenth of the vectors went and another tenth came in since it was built."""
     v = t(s, b, "embeddings")
-    return vectors.ivf_search(v, _vector_questions(s, b).select("query_id", "embedding"), vectors.ivf_fit(v, cells=16), 10, probes=8)
+    folder = f"{shared_dir(s)}/docketry-index-{uuid.uuid4().hex}"
+    vectors.build_index(v.filter("vec_id % 10 <> 0"), folder, cells=CELLS)
+    return vectors.index_state(v.filter("vec_id % 10 <> 1"), folder).drop("index_width", "main_width")
+
+
+def _scoped(s, b):
+    """Documents' vectors; each question wants its own case and, where its number is even, some documents by their type."""
+    d = t(s, b, "documents").select(F.col("doc_id").alias("vec_id"), F.coalesce("doc_type", F.lit("none")).alias("document_id"), "case_id")
+    store = cut(_document_vectors(s, b).drop("label").join(d, "vec_id"))
+    wants = F.when(F.col("vec_id") % 100 == 0, F.array(F.col("document_id"), F.lit("letter"))).otherwise(F.array().cast("array<string>"))
+    asked = store.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding", wants.alias("types"), F.col("case_id").alias("own"))
+    return vectors.knn(store, asked, 10, documents="types", case="own").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _ready(s, b):
+    """Keyword search over the extracted texts, with every fiftieth document's title as a question; only documents that are Ready may come out."""
+    files = once(t(s, b, "files"))
+    passages = t(s, b, "extracted").filter("text IS NOT NULL").dropDuplicates(["document_id"]).select(F.col("document_id").alias("chunk_id"), "document_id", "text")
+    asked = files.select(F.col("id").alias("query_id"), F.col("file_name").alias("text"))
+    return keyword.best(keyword.bm25(passages, asked, keyword.ready(passages, files)), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _view(s, b):
+    d = t(s, b, "documents")
+    named = d.select(F.col("doc_id").alias("document_id"), F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("document_name"), "case_id")
+    passages = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.lit(None).cast("int").alias("page"))
+    return keyword.view(keyword.bm25(_passages(s, b), _questions(s, b)), passages, named, once(t(s, b, "cases")), 60).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "document_name", "case_reference")
 
 
 WORDS = ["warehouse", "lease", "the", "of", "contract"]
@@ -70,6 +121,13 @@ QUERIES = {
     "bm25_search": lambda s, b: _keyword(s, b, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
     "keyword_view": lambda s, b: keyword.scaled(_keyword(s, b, 10)).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
     "bm25_filtered": lambda s, b: keyword.best(keyword.bm25(_passages(s, b), _questions(s, b), t(s, b, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
+    "ready_search": _ready,
+    "search_view": _view,
+    "knn_scoped": _scoped,
+    "knn_recall": _ivf_recall,
+    "index_state": _index_state,
+    "hit_documents": lambda s, b: hybrid.distinct_documents(_hits(s, b).withColumn("document_id", F.col("case_id"))).withColumnRenamed("n_documents", "n_cases"),
+    "recipe_inputs": lambda s, b: hybrid.recipe_inputs(t(s, b, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.coalesce("source", F.lit("")).alias("header")), "nomic-embed-text").select("chunk_id", "recipe", F.md5("input").alias("input")),
     "highlight": lambda s, b: t(s, b, "documents").select("doc_id", keyword.highlight(F.col("text"), WORDS).alias("marked")),
     "snippet_around": lambda s, b: t(s, b, "documents").select("doc_id", keyword.snippet_around(F.col("text"), ["warehouse", "lease"]).alias("snippet")),
     "knn_exact": lambda s, b: vectors.knn(t(s, b, "embeddings"), _vector_questions(s, b), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank"),
@@ -133,7 +191,28 @@ SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS sc
 _HITS = f"""(SELECT h.query_id, h.chunk_id, h.score, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS n, d.text, 'document ' || d.doc_id AS document_name, c.reference
     FROM ({_HYBRID}) h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = d.case_id)"""
 
+def _bm25_of(passages: str, questions: str, k: int, allowed: str) -> str:
+    """BM25 over other tables: the same statement with its two sources exchanged."""
+    base = _bm25(k, allowed)
+    return base.replace("SELECT doc_id AS chunk_id, list_filter", "SELECT chunk_id, list_filter").replace("FROM documents WHERE text IS NOT NULL),\nst", f"FROM {passages}),\nst").replace("SELECT doc_id AS query_id,", "SELECT query_id,").replace("FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL", f"FROM {questions}")
+
+
+_READY = _bm25_of(
+    "(SELECT DISTINCT document_id AS chunk_id, text FROM extracted WHERE text IS NOT NULL)", "(SELECT DISTINCT id AS query_id, file_name AS text FROM files)", 10, "chunk_id IN (SELECT id FROM files WHERE index_status = 'Ready')"
+)
+_SCOPED_STORE = "(SELECT d.doc_id AS vec_id, e.embedding, CAST(NULL AS INTEGER) AS label, coalesce(d.doc_type, 'none') AS document_id, d.case_id FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings) WHERE d.text IS NOT NULL)"
+
 SQL = {
+    "ready_search": f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_READY})",
+    "search_view": f"""SELECT query_id, chunk_id, round(score / greatest(m, 1e-12), 6) AS score, 'document ' || d.doc_id AS document_name, c.reference AS case_reference
+        FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS m FROM ({_bm25(50)})) h JOIN documents d ON d.doc_id = h.chunk_id LEFT JOIN (SELECT DISTINCT * FROM cases) c ON c.id = d.case_id""",
+    "knn_scoped": f"""SELECT query_id, vec_id, round(score, 6) AS score, rank FROM ({_knn(10, "(own IS NULL OR own = case_id) AND (query_id % 100 <> 0 OR document_id IN (own_type, 'letter'))", store=_SCOPED_STORE, asked=f"(SELECT * FROM {_SCOPED_STORE} WHERE vec_id % 50 = 0)").replace("label, list_transform", "document_id, case_id, list_transform", 1).replace("label AS want, list_transform", "document_id AS own_type, case_id AS own, list_transform")})""",
+    "knn_recall": "SELECT TRUE AS enough",
+    "index_state": """SELECT count(*) FILTER (vec_id % 10 <> 1) AS live, count(*) FILTER (vec_id % 10 <> 0) AS indexed, count(*) FILTER (vec_id % 10 = 0) AS tail, count(*) FILTER (vec_id % 10 = 1) AS dead,
+        CASE WHEN count(*) FILTER (vec_id % 10 <> 1) >= 20000 AND count(*) FILTER (vec_id % 10 = 0) > 4000 THEN 'extend' ELSE 'none' END AS due FROM embeddings""",
+    "hit_documents": f"SELECT query_id, count(DISTINCT d.case_id) AS n_cases FROM ({_HYBRID}) h JOIN documents d ON d.doc_id = h.chunk_id GROUP BY query_id",
+    "recipe_inputs": """SELECT doc_id AS chunk_id, recipe, md5(CASE WHEN recipe IN ('prefix', 'both') THEN 'search_document: ' ELSE '' END || CASE WHEN recipe IN ('header', 'both') AND coalesce(source, '') <> '' THEN source || chr(10) || chr(10) ELSE '' END || text) AS input
+        FROM documents, unnest(['plain', 'prefix', 'header', 'both']) r(recipe)""",
     "query_terms": f"SELECT id, array_to_string({_terms('content')}, ' ') AS terms FROM (SELECT DISTINCT ON (id) * FROM messages) WHERE content IS NOT NULL",
     "bm25_search": f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_bm25(10)})",
     "bm25_filtered": f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM ({_bm25(10, 'chunk_id IN (SELECT doc_id FROM documents WHERE lang = ' + chr(39) + 'en' + chr(39) + ')')})",

@@ -13,8 +13,8 @@ COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 def _cells(s, b):
     lines = t(s, b, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(x).alias(x) for x in COLS])
-    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.concat((F.col(x) + 0.0).cast("decimal(18,2)").cast("string"), F.lit(", x") if i == 3 else F.lit("")).alias("v")) for i, x in enumerate(COLS)])
-    return lines.filter("l_linenumber <> 2").select(F.col("l_orderkey").alias("sheet_id"), (F.col("l_linenumber") - 1).alias("r"), F.explode(cells).alias("x")).select("sheet_id", "r", "x.c", "x.v")
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.when(F.col("gap"), F.lit(" ")).otherwise(F.concat((F.col(x) + 0.0).cast("decimal(18,2)").cast("string"), F.lit(", x") if i == 3 else F.lit(""))).alias("v")) for i, x in enumerate(COLS)])
+    return lines.withColumn("gap", F.col("l_linenumber") == 2).select(F.col("l_orderkey").alias("sheet_id"), (F.col("l_linenumber") - 1).alias("r"), F.explode(cells).alias("x")).select("sheet_id", "r", "x.c", "x.v")
 
 
 def _formulas(s, b):
@@ -79,7 +79,9 @@ QUERIES = {
     "sheet_paste": lambda s, b: sheet.pasted(t(s, b, "part").select(F.col("p_partkey").alias("sheet_id"), F.lit(198).alias("r0"), F.lit(24).alias("c0"), F.concat("p_name", F.lit("\t "), "p_brand", F.lit("\t x\r\n\n"), "p_type", F.lit("\t=A1\nlost")).alias("block"))),
 }
 
-_CELLS = """(SELECT l_orderkey AS sheet_id, l_linenumber - 1 AS r, unnest([0, 1, 2, 3]) AS c, unnest([CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_discount + 0.0 AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_tax + 0.0 AS DECIMAL(18,2)) AS VARCHAR) || ', x']) AS v FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2) WHERE l_linenumber <> 2)"""
+_CELLS = """(SELECT l_orderkey AS sheet_id, l_linenumber - 1 AS r, unnest([0, 1, 2, 3]) AS c, unnest([CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_discount + 0.0 AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(l_tax + 0.0 AS DECIMAL(18,2)) AS VARCHAR) || ', x']) AS v FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax FROM lineitem GROUP BY 1, 2))"""
+#: The second line of every order is a row of blank cells.
+_CELLS = f"(SELECT sheet_id, r, c, CASE WHEN r = 1 THEN ' ' ELSE v END AS v FROM {_CELLS})"
 _LINES = "(SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)"
 
 SQL = {
@@ -95,9 +97,9 @@ SQL = {
         nullif(strpos(p_name, 'e'), 0) AS find, nullif(strpos(lower(p_name), 'e'), 0) AS search, replace(p_name, 'a', '_') AS substitute, CAST(p_size AS DOUBLE) AS number, CAST(NULL AS DOUBLE) AS no_number,
         CASE WHEN floor(p_retailprice) = p_retailprice THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END AS shown FROM part""",
     "formula_logic": """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 'big' ELSE 'small' END AS if_, CASE WHEN l_quantity > 40 THEN 'a' WHEN l_quantity > 20 THEN 'b' END AS ifs, l_quantity <> 0 AS and_, l_discount <> 0 AS or_, false AS not_, CAST(NULL AS BOOLEAN) AS word FROM lineitem""",
-    "sheet_csv": f"""WITH x AS {_CELLS}, u AS (SELECT sheet_id, max(r) AS mr, max(c) AS mc FROM x GROUP BY 1), g AS (SELECT sheet_id, unnest(range(mr + 1)) AS r, mc FROM u), h AS (SELECT sheet_id, r, unnest(range(mc + 1)) AS c FROM g)
+    "sheet_csv": f"""WITH x AS {_CELLS}, u AS (SELECT sheet_id, max(r) AS mr, max(c) AS mc FROM x WHERE trim(v) <> '' GROUP BY 1), g AS (SELECT sheet_id, unnest(range(mr + 1)) AS r, mc FROM u), h AS (SELECT sheet_id, r, unnest(range(mc + 1)) AS c FROM g)
         SELECT h.sheet_id, h.r, string_agg(CASE WHEN regexp_matches(coalesce(v, ''), '[",]') THEN '"' || replace(v, '"', '""') || '"' ELSE coalesce(v, '') END, ',' ORDER BY h.c) AS line FROM h LEFT JOIN x ON x.sheet_id = h.sheet_id AND x.r = h.r AND x.c = h.c GROUP BY 1, 2""",
-    "sheet_used_range": f"SELECT sheet_id, max(r) AS max_r, max(c) AS max_c FROM {_CELLS} GROUP BY 1",
+    "sheet_used_range": f"SELECT sheet_id, max(r) AS max_r, max(c) AS max_c FROM {_CELLS} WHERE trim(v) <> '' GROUP BY 1",
     "sheet_references": f"""SELECT l_orderkey AS sheet_id, CAST(sum(CASE WHEN l_linenumber > 1 THEN 2 WHEN l_orderkey % 10 = 0 THEN 1 ELSE 3 END) AS BIGINT) AS n,
         CAST(sum(CASE WHEN l_linenumber > 1 THEN (l_linenumber - 2) * 100 + 4 + (l_linenumber - 1) * 100 + 1 WHEN l_orderkey % 10 = 0 THEN 4 ELSE 6 END) AS BIGINT) AS total FROM {_LINES} GROUP BY 1""",
     "sheet_levels": f"""WITH l AS {_LINES}, f AS (SELECT l_orderkey, l_linenumber, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM l),

@@ -38,13 +38,16 @@ QUERIES = {
     "doc_stats": lambda s, b: t(s, b, "documents").select("doc_id", x.word_count("text").cast("long").alias("words"), x.token_estimate("text").cast("long").alias("token_estimate"), F.sha2("text", 256).alias("checksum")),
     "duplicate_docs": lambda s, b: t(s, b, "documents").filter("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("checksum")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1"),
     "chunks": lambda s, b: chunking.chunks(t(s, b, "extracted")),
-    "chunk_counts": lambda s, b: chunking.chunks(t(s, b, "extracted")).groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum("token_estimate").cast("long").alias("n_tokens")),
+    "chunk_counts": lambda s, b: chunking.chunk_sizes(t(s, b, "extracted")),
     "context_headers": _headers,
     "mime_types": lambda s, b: once(t(s, b, "files")).select("id", x.guess_mime("file_name").alias("mime"), x.is_supported(x.guess_mime("file_name")).alias("supported"), x.safe_name(F.col("file_name")).alias("safe_name")),
     "snippets": lambda s, b: t(s, b, "documents").select("doc_id", x.snippet(F.col("text"), 120).alias("snippet")),
     "format_bytes": lambda s, b: once(t(s, b, "files")).select("id", x.format_bytes(F.col("size_bytes")).alias("shown")),
     "format_relative": lambda s, b: once(t(s, b, "cases")).select("id", x.format_relative(F.col("updated_at"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")).alias("shown")),
     "error_diagnosis": lambda s, b: once(t(s, b, "messages")).filter("error <> ''").select("id", x.diagnosis(F.col("error")).alias("problem")),
+    "format_date": lambda s, b: once(t(s, b, "messages")).select("id", x.format_date("created_at").alias("shown")),
+    "service_errors": lambda s, b: once(t(s, b, "messages")).select("id", x.service_error("error").alias("kind")),
+    "document_passages": lambda s, b: chunking.document_chunks(chunking.chunks(t(s, b, "extracted")), once(t(s, b, "files")).filter("index_status = 'Failed'").select(F.col("id").alias("document_id"))).select("document_id", "ordinal", "chunk_id", F.md5("text").alias("text")),
     "csv_rows": lambda s, b: once(t(s, b, "people")).select("id", F.concat_ws(",", *[x.csv_field(F.col(c)) for c in ("full_name", "role", "organization", "email", "notes")]).alias("line")),
 }
 
@@ -108,3 +111,6 @@ FROM r JOIN cum USING (document_id) JOIN un USING (document_id)
 """
 SQL["chunks"] = CHUNKS_SQL
 SQL["chunk_counts"] = f"SELECT document_id, count(*) AS n_chunks, CAST(sum(token_estimate) AS BIGINT) AS n_tokens FROM ({CHUNKS_SQL}) GROUP BY document_id"
+SQL["document_passages"] = f"SELECT document_id, ordinal, chunk_id, md5(text) AS text FROM ({CHUNKS_SQL}) WHERE document_id IN (SELECT id FROM files WHERE index_status = 'Failed')"
+SQL["service_errors"] = r"""SELECT DISTINCT ON (id) id, CASE WHEN trim(coalesce(error, '')) = '' THEN NULL WHEN regexp_matches(lower(error), 'connection refused|could not connect|dns|unreachable') THEN 'unreachable' WHEN regexp_matches(lower(error), 'timed out|timeout|deadline') THEN 'timeout'
+    WHEN regexp_matches(lower(error), '\b401\b|unauthorized|invalid api key') THEN 'unauthorized' WHEN regexp_matches(lower(error), '\b404\b|model .*not found|no such model') THEN 'missing model' WHEN regexp_matches(lower(error), '\b429\b|rate limit|too many requests') THEN 'rate limit' ELSE 'other' END AS kind FROM messages"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.operators import graph, tree
+from docketry.plans.catalogue import case_events, sheets
 from docketry.session import cut
 from docketry.session import read_table as t
 
@@ -37,12 +38,20 @@ QUERIES = {
     "mention_parse": lambda s, b: tree.mentions(t(s, b, "messages").dropDuplicates(["id"]), "id", "content"),
     "mention_docs": lambda s, b: tree.mentioned_documents(tree.mentions(_notes(s, b), "note", "text"), _nodes(s, b), "note"),
     "mention_segments": lambda s, b: tree.segments(_notes(s, b), "note", "text"),
+    "mention_spans": lambda s, b: tree.mention_spans(t(s, b, "messages").dropDuplicates(["id"]), "id", "content"),
+    "segment_texts": lambda s, b: tree.segments(t(s, b, "messages").dropDuplicates(["id"]), "id", "content").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "").alias("text")),
+    "linked_mentions": lambda s, b: tree.linked_segments(tree.segments(_notes(s, b), "note", "text"), _nodes(s, b)).filter("kind = 'mention'").select("note", "place", "node_id"),
+    "row_nodes": lambda s, b: tree.row_nodes(t(s, b, "files").dropDuplicates(["id"]).select("id", "file_name"), _nodes(s, b), "document"),
+    "caret_fragments": lambda s, b: t(s, b, "messages").dropDuplicates(["id"]).select("id", tree.fragment_at(F.col("content"), F.instr("content", "@") + 3).alias("fragment")),
+    "slash_commands": lambda s, b: tree.slash_commands(t(s, b, "messages").dropDuplicates(["id"]).select("id", F.concat(F.lit("/"), F.lower("content")).alias("text")), "id", "text", s.createDataFrame(tree.COMMANDS, "name string, template string")),
+    "full_tree": lambda s, b: tree.case_tree(tree.tree_nodes(*[t(s, b, x) for x in ("cases", "files", "case_people", "people")], sheets(s, b), case_events(s, b))).select("id", "node_key", "kind", "label", "parent_id", "depth", "ordinal", "status"),
     "mention_rank": lambda s, b: tree.rank_mentions(_nodes(s, b), "lease", 100),
     "quick_find": lambda s, b: tree.quick_find(_nodes(s, b), "an"),
     "resolve_mention": lambda s, b: tree.resolve(n := _nodes(s, b), _fragments(n)),
     "node_targets": lambda s, b: tree.tree_nodes(*[t(s, b, x) for x in ("cases", "files", "case_people", "people")]).select("id", tree.target(F.col("id"))["kind"].alias("kind"), tree.target(F.col("id"))["key"].alias("key"), tree.case_reference(F.col("node_key")).alias("reference")),
     "case_graph": lambda s, b: graph.items(_nodes(s, b)),
     "case_graph_roots": lambda s, b: graph.roots(_nodes(s, b)),
+    "case_graph_bounds": lambda s, b: graph.bounds(_nodes(s, b)),
     "case_graph_edges": lambda s, b: graph.edges(_nodes(s, b)).select("case_id", "source", "target", "path"),
 }
 
@@ -62,7 +71,26 @@ g0 AS (SELECT case_id, kind, kr, count(*) AS m FROM i GROUP BY ALL),
 g AS (SELECT *, coalesce(sum(m * 36 + 20) OVER (PARTITION BY case_id ORDER BY kr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM g0),
 gy AS (SELECT *, (top + top + m * 36 - 8) / 2.0 - 14 AS y FROM g)"""
 
+#: Where each mention begins, by looking for them one after the other.
+_SPANS = """WITH RECURSIVE m AS (SELECT DISTINCT ON (id) id, content FROM messages WHERE content IS NOT NULL),
+    h AS (SELECT id, content, regexp_extract_all(content, '(?:^|[^\\w.@-])@[A-Za-z0-9][A-Za-z0-9._/-]*') AS hs FROM m),
+    r(id, content, hs, k, pos, handle) AS (SELECT id, content, hs, 0, 0, CAST(NULL AS VARCHAR) FROM h WHERE len(hs) > 0
+      UNION ALL SELECT id, content, hs, k + 1, pos + strpos(substring(content, pos + 1), hs[k + 1]) - 1 + length(hs[k + 1]), hs[k + 1] FROM r WHERE k < len(hs))
+    SELECT id, lower(handle[strpos(handle, '@') + 1:]) AS handle, pos - length(handle) + strpos(handle, '@') - 1 AS start, pos AS "end" FROM r WHERE k > 0"""
+
 SQL = {
+    "mention_spans": _SPANS,
+    "segment_texts": "SELECT DISTINCT ON (id) id, content AS text FROM messages WHERE content <> ''",
+    "linked_mentions": f"""WITH {_N}, {_NOTES}, h AS (SELECT note, {_MENTIONS.format('text')} AS h FROM notes), m AS (SELECT note, unnest(range(1, len(h) + 1)) AS k, unnest(h) AS handle FROM h)
+        SELECT m.note, CAST(2 * k AS BIGINT) AS place, (SELECT arg_min(id, ordinal) FROM n WHERE n.node_key = m.handle) AS node_id FROM m""",
+    "row_nodes": f"WITH {_N} SELECT f.id, f.file_name, 'document:' || f.id AS node_id FROM f",
+    "caret_fragments": r"""SELECT id, CASE WHEN regexp_matches(x, '(?:^|[^\w.@-])@([A-Za-z0-9][A-Za-z0-9._/-]*)?$') THEN regexp_extract(x, '(?:^|[^\w.@-])@([A-Za-z0-9][A-Za-z0-9._/-]*)?$', 1) END AS fragment FROM (SELECT DISTINCT ON (id) id, content[1:strpos(content, '@') + 3] AS x FROM messages)""",
+    "slash_commands": """WITH m AS (SELECT DISTINCT ON (id) id, lower(content) AS x FROM messages WHERE content IS NOT NULL), w AS (SELECT id, regexp_extract('/' || x, '^/(\\S*)', 1) AS q, x FROM m)
+        SELECT id, name, replace(template, '{}', trim(regexp_replace('/' || x, '^/\\S*', ''))) AS expanded FROM w JOIN (VALUES ('summarize', 'Summarize {}'), ('compare', 'Compare {} with '), ('dates', 'List every date mentioned in {}'), ('draft', 'Draft a letter about {}')) c(name, template) ON starts_with(name, q)""",
+    "full_tree": f"""WITH {_N.rsplit('n AS (SELECT', 1)[0]} x AS (SELECT * FROM u
+        UNION ALL SELECT 'sheet:' || v.id, CASE WHEN c.id IS NOT NULL THEN lower(c.reference) || '/' || lower(v.title) ELSE lower(v.title) END, 'sheet', v.title, 'case:' || v.case_id, CASE WHEN v.case_id IS NULL THEN 0 ELSE 1 END, '200 x 26', NULL, v.case_id, NULL, 4, v.updated_at, NULL FROM (SELECT DISTINCT * FROM conversations) v LEFT JOIN c ON c.id = v.case_id
+        UNION ALL SELECT 'event:' || f.id, CASE WHEN c.id IS NOT NULL THEN lower(c.reference) || '/' || lower(file_name) ELSE lower(file_name) END, 'event', file_name, 'case:' || f.case_id, CASE WHEN f.case_id IS NULL THEN 0 ELSE 1 END, index_status, NULL, f.case_id, NULL, 5, f.created_at, NULL FROM f LEFT JOIN c ON c.id = f.case_id)
+        SELECT id, node_key, kind, label, parent_id, depth, row_number() OVER (ORDER BY k, st DESC NULLS LAST, sx NULLS FIRST, id) - 1 AS ordinal, status FROM x""",
     "case_tree": f"WITH {_N} SELECT id, node_key, kind, label, parent_id, depth, ordinal, status, detail FROM n",
     "tree_counts": f"WITH {_N} SELECT count(*) FILTER (kind = 'case') AS \"case\", count(*) FILTER (kind = 'document') AS document, count(*) FILTER (kind = 'person') AS person, 0 AS sheet, 0 AS event FROM n",
     "tree_filter": f"""WITH {_N}, h AS (SELECT * FROM n WHERE contains(lower(concat_ws(chr(1), label, node_key, status, detail)), 'witness'))
@@ -85,4 +113,11 @@ SQL = {
         CAST(g.top + (row_number() OVER (PARTITION BY i.case_id, i.kind ORDER BY ordinal) - 1) * 36 AS DOUBLE) AS y FROM i JOIN g ON g.case_id = i.case_id AND g.kind = i.kind""",
     "case_graph_roots": f"""WITH {_N}, {_G}, r AS (SELECT case_id, (arg_min(y, kr) + arg_max(y, kr)) / 2.0 AS y, CAST(max(top + m * 36) - 8 AS DOUBLE) AS height, CAST(sum(m) AS BIGINT) AS connections FROM gy GROUP BY case_id)
         SELECT n.case_id, CASE WHEN length(detail) > 20 THEN detail[1:19] || '…' ELSE detail END AS label, y, height, connections FROM n JOIN r ON r.case_id = n.case_id WHERE kind = 'case'""",
+    "case_graph_bounds": f"""WITH {_N}, {_G}, r AS (SELECT case_id, (arg_min(y, kr) + arg_max(y, kr)) / 2.0 AS y, max(top + (m - 1) * 36) AS most FROM gy GROUP BY case_id)
+        SELECT r.case_id, 602 AS width, least(0.0, r.y) AS top, greatest(CAST(most AS DOUBLE), r.y) + 28 AS bottom FROM r""",
+    "case_graph_edges": f"""WITH {_N}, {_G}, r AS (SELECT case_id, (arg_min(y, kr) + arg_max(y, kr)) / 2.0 AS y FROM gy GROUP BY case_id),
+        k AS (SELECT i.case_id, i.kind, i.id, CAST(g.top + (row_number() OVER (PARTITION BY i.case_id, i.kind ORDER BY ordinal) - 1) * 36 AS DOUBLE) AS y, g.y AS gy FROM i JOIN gy g ON g.case_id = i.case_id AND g.kind = i.kind),
+        e AS (SELECT case_id, 'case:' || case_id AS source, 'group:' || gy.kind AS target, 170.0 AS x1, CAST(r.y + 14 AS DOUBLE) AS y1, 226.0 AS x2, CAST(gy.y + 14 AS DOUBLE) AS y2 FROM gy JOIN r USING (case_id) JOIN (SELECT case_id FROM n WHERE kind = 'case') c USING (case_id)
+          UNION ALL SELECT case_id, 'group:' || kind, id, 356.0, CAST(gy + 14 AS DOUBLE), 412.0, CAST(y + 14 AS DOUBLE) FROM k)
+        SELECT case_id, source, target, 'M' || x1 || ',' || y1 || ' C' || CAST((x1 + x2) / 2 AS DECIMAL(9,1)) || ',' || y1 || ' ' || CAST((x1 + x2) / 2 AS DECIMAL(9,1)) || ',' || y2 || ' ' || x2 || ',' || y2 AS path FROM e""",
 }

@@ -109,7 +109,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def import_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file: path, file_name, stored_name, mime, size_bytes, checksum, index_status (`Pending`, or `Failed` for formats without text), content.
 
-    Files of no bytes do not appear: Spark's file sources pass over them.
+    Files of no bytes do not appear: Spark's file sources pass over them (`import_listed` has a row for them).
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
@@ -121,6 +121,20 @@ def import_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def import_listed(spark: SparkSession, paths: DataFrame, folder: str) -> DataFrame:
+    """Import records for the paths asked for (`paths`: path), one each: those of files under `folder`, and a `Failed` row for a path without content, be the file missing or of no bytes."""
+    bare = lambda c: F.regexp_replace(F.url_decode(c), r"^file:/*", "/")
+    have = import_records(spark, folder).withColumn("__path", bare(F.col("path"))).drop("path")
+    asked = paths.select("path", bare(F.col("path")).alias("__path")).dropDuplicates(["__path"])
+    name = F.element_at(F.split("__path", "/"), -1)
+    out = asked.join(have, "__path", "left")
+    missing = F.col("checksum").isNull()
+    return out.select(
+        "path", F.coalesce("file_name", name).alias("file_name"), "stored_name", F.coalesce("mime", guess_mime(name)).alias("mime"), F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes"), "checksum",
+        F.when(missing, "Failed").otherwise(F.col("index_status")).alias("index_status"), F.when(missing, "no such file, or nothing in it").otherwise(F.col("index_error")).alias("index_error"), "content",
+    )
+
+
 def extract(records: DataFrame) -> DataFrame:
     """Import records with text, pages (split at form feeds, trimmed; NULL without one), word_count and the outcome; broken files are `Failed` with the reason."""
     got = records.select("checksum", "file_name", "mime", "content").mapInArrow(_decoded, "checksum string, file_name string, mime string, raw string, error string")

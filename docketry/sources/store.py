@@ -1,6 +1,6 @@
 """A store of passages and vectors in Parquet: snapshots with a pointer, checked content, replacement by document.
 
-A write goes to a new snapshot folder; the pointer file is switched by one rename, so readers see the old or the new state.
+A write goes to a new snapshot folder; a new pointer file of the next version makes it current, so readers see the old or the new state.
 Rows carry a checksum; damaged documents are reported, not dropped silently.
 """
 
@@ -27,32 +27,60 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(version, snapshot folder) of the complete pointers, newest first. A pointer that is being written has no line end yet and does not count."""
+    fs, path = _fs(spark, root)
+    found = fs.globStatus(path(f"{root}/CURRENT-*")) or []
+    out = []
+    for status in found:
+        stream = fs.open(status.getPath())
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text.endswith("\n"):
+            out.append((int(status.getPath().getName().rsplit("-", 1)[1]), text.strip()))
+    return sorted(out, reverse=True)
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The folder of the current snapshot; None for a new store."""
-    fs, path = _fs(spark, root)
-    pointer = path(f"{root}/CURRENT")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.text(f"{root}/CURRENT").first()[0]
+    found = _pointers(spark, root)
+    return found[0][1] if found else None
+
 
+def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Write rows (document_id, chunk_id, text, embedding, ...) as the new current snapshot, spread by document; returns its folder.
 
-def write_snapshot(df: DataFrame, root: str, buckets: int = 16) -> str:
-    """Write rows (document_id, chunk_id, text, embedding, ...) as the new current snapshot, spread by document; returns its folder."""
+    Pointers are files of rising versions, created and never changed or deleted by a writer: the highest wins, so a reader sees
+    the old or the new state at any moment. `after`: the version the rows were made from; if another writer was quicker, the
+    version exists already and FileExistsError is raised, nothing of the other's being lost. Files follow the size of the rows.
+    """
     spark = df.sparkSession
-    folder = f"{root}/snapshot-{uuid.uuid4().hex}"
-    df.withColumn("checksum", checksum()).repartition(buckets, "document_id", "chunk_id").write.parquet(folder)
     fs, path = _fs(spark, root)
-    fresh = path(f"{root}/CURRENT.{uuid.uuid4().hex}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(folder.encode()))
-    out.close()
-    pointer = path(f"{root}/CURRENT")
+    version = (after if after is not None else max((v for v, _ in _pointers(spark, root)), default=0)) + 1
+    folder = f"{root}/snapshot-{uuid.uuid4().hex}"
+    df.withColumn("checksum", checksum()).repartition("document_id", "chunk_id").write.parquet(folder)
+    pointer = path(f"{root}/CURRENT-{version:012d}")
     if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(fresh, pointer)
+        raise FileExistsError(f"version {version} of {root} was written by another")
+    out = fs.create(pointer, False)
+    out.write(bytearray(f"{folder}\n".encode()))
+    out.close()
     return folder
 
 
+def tidy(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Delete snapshots and pointers older than the newest `keep`, and snapshots no pointer names (writers that died); returns the folders deleted. Run it while nobody writes."""
+    fs, path = _fs(spark, root)
+    found = _pointers(spark, root)
+    kept = {folder.rsplit("/", 1)[1] for _, folder in found[:keep]}
+    gone = [s.getPath() for s in (fs.globStatus(path(f"{root}/snapshot-*")) or []) if s.getPath().getName() not in kept]
+    for v, _ in found[keep:]:
+        fs.delete(path(f"{root}/CURRENT-{v:012d}"), False)
+    for p in gone:
+        fs.delete(p, True)
+    return [p.getName() for p in gone]
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     """Rows of the current snapshot with `intact`: whether the content still has its checksum."""
     folder = current(spark, root)
@@ -68,8 +96,25 @@ def replace(spark: SparkSession, root: str, new: DataFrame) -> str:
     from docketry.operators.vectors import norm
 
     usable = new.filter((norm("embedding") > 0) & (norm("embedding") < float("inf")))
-    old = read_snapshot(spark, root)
-    return write_snapshot(usable if old is None else replace_documents(old.drop("checksum", "intact").select(*usable.columns), usable), root)
+    return _changed(spark, root, lambda old: usable if old is None else replace_documents(old.select(*usable.columns), usable))
+
+
+def _changed(spark: SparkSession, root: str, change) -> str:
+    """A new snapshot made from the rows of the current one (None: a new store)."""
+    found = _pointers(spark, root)
+    old = spark.read.parquet(found[0][1]).drop("checksum") if found else None
+    return write_snapshot(change(old), root, found[0][0] if found else 0)
+
+
+def remove_documents(spark: SparkSession, root: str, gone: DataFrame) -> str:
+    """A new snapshot without the documents of `gone` (document_id)."""
+    return _changed(spark, root, lambda old: old.join(gone.select("document_id").distinct(), "document_id", "left_anti"))
+
+
+def set_case(spark: SparkSession, root: str, cases: DataFrame) -> str:
+    """A new snapshot in which the documents of `cases` (document_id, case_id) carry that case; NULL takes them out of theirs."""
+    new = cases.select("document_id", F.col("case_id").alias("__case"), F.lit(True).alias("__set")).dropDuplicates(["document_id"])
+    return _changed(spark, root, lambda old: old.join(new, "document_id", "left").withColumn("case_id", F.when(F.col("__set"), F.col("__case")).otherwise(F.col("case_id"))).select(*old.columns))
 
 
 def _floats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +129,6 @@ def from_blobs(blobs: DataFrame) -> DataFrame:
 
 
 def migrate(chunks: DataFrame, blobs: DataFrame, files: DataFrame) -> DataFrame:
-    """Passages of Ready documents with their vectors, from the two tables of an older store."""
+    """Passages of Ready documents with their vectors, from the two tables of an older store; each passage once, however often it was migrated before."""
     ready = files.filter("index_status = 'Ready'").select(F.col("id").alias("document_id")).distinct()
-    return chunks.join(ready, "document_id", "left_semi").join(from_blobs(blobs).filter("embedding IS NOT NULL"), "chunk_id")
+    return chunks.dropDuplicates(["chunk_id"]).join(ready, "document_id", "left_semi").join(from_blobs(blobs).filter("embedding IS NOT NULL").dropDuplicates(["chunk_id"]), "chunk_id")

@@ -55,6 +55,29 @@ def lines(parts: DataFrame, key: str, order: str, column: str) -> DataFrame:
     return line.select(F.col("__key").alias(key), "place", bare.alias("line")).filter("line <> ''")
 
 
+def sse_data(framed: DataFrame, key: str) -> DataFrame:
+    """key, place, data: what the `data:` lines of event streams carry; the closing `[DONE]` carries nothing."""
+    data = F.ltrim(F.substring("line", 6, 1 << 30))
+    return framed.filter(F.startswith("line", F.lit("data:"))).select(key, "place", data.alias("data")).filter("data <> '[DONE]'")
+
+
+def step_counts(events: DataFrame, key: str, step: str, order: list[str], *counts: str) -> DataFrame:
+    """key, step and the last known value of each count: a count, once reported, stays until another is."""
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in counts]
+    return events.filter(F.col(key).isNotNull()).groupBy(key, step).agg(*last)
+
+
+def index_progress(events: DataFrame, key: str, status: str, order: list[str]) -> DataFrame:
+    """key, status, done, total: the last status of each document of an index run, with how many of its batches are embedded (`embedding` events) of how many it has (`total`)."""
+    n = events.groupBy(key).agg(F.max_by(status, F.struct(*order)).alias("status"), F.count_if(F.col(status) == "Embedding").alias("done"), F.max("total").alias("total"))
+    return n.withColumn("done", F.least("done", F.coalesce("total", "done")))
+
+
+def micro_batches(stream: DataFrame, folder: str, checkpoint: str, every: str = "40 milliseconds"):
+    """Deltas of a stream appended as Parquet at most once every `every`; what has come in by then goes out together, the rest when the stream is stopped."""
+    return stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def windowed_counts(events: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
     """Counts per time window and keys; rows later than `late` behind the newest are left out when run as a stream."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n")).select("window.start", "window.end", *keys, "n")

@@ -95,3 +95,45 @@ def test_folds_with_ties_and_nulls(spark):
     assert [r.doc for r in folds.progress(ev, "doc", ["seq"], "status", ("Indexing",)).collect()] == ["e"]
     st = spark.createDataFrame([("r", 1, "mentions", "done"), ("r", 2, "embed", "skipped"), ("r", 3, "search", "active"), ("r", 4, "dance", "active")], "run string, seq int, step string, state string")
     assert [r.state for r in folds.step_states(st, "run", "step", "state", ["seq"]).orderBy("step_no").collect()] == ["done", "skipped", "active", "pending", "pending"]
+
+
+def test_a_reader_never_sees_an_empty_store(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    rows = lambda *ids: spark.createDataFrame([(i, f"{i}:0", "text", [1.0, 2.0], "c1") for i in ids], "document_id string, chunk_id string, text string, embedding array<double>, case_id string")
+    store.write_snapshot(rows("a", "b"), root)
+    pointer = tmp_path / "store" / "CURRENT-000000000002"
+    pointer.write_text("half a na")  # a writer that died while writing its pointer
+    assert {r.document_id for r in store.read_snapshot(spark, root).collect()} == {"a", "b"}
+    pointer.unlink()
+    store.replace(spark, root, rows("b", "c"))
+    assert {r.document_id for r in store.read_snapshot(spark, root).collect()} == {"a", "b", "c"}
+    assert (tmp_path / "store" / "CURRENT-000000000001").exists()  # the old state stays readable
+    import pytest
+
+    with pytest.raises(FileExistsError):
+        store.write_snapshot(rows("x"), root, after=1)
+    store.set_case(spark, root, spark.createDataFrame([("a", None), ("b", "c9")], "document_id string, case_id string"))
+    assert {(r.document_id, r.case_id) for r in store.read_snapshot(spark, root).collect()} == {("a", None), ("b", "c9"), ("c", "c1")}
+    store.remove_documents(spark, root, spark.createDataFrame([("c",)], "document_id string"))
+    assert {r.document_id for r in store.read_snapshot(spark, root).collect()} == {"a", "b"}
+    assert len(store.tidy(spark, root, 1)) == 4 and store.read_snapshot(spark, root).count() == 2 and store.corrupt_documents(store.read_snapshot(spark, root)).count() == 0
+
+
+def test_listed_files_that_are_missing_or_empty_fail(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("hello")
+    (tmp_path / "b.txt").write_text("")
+    paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.txt", "b.txt", "c.txt")], "path string")
+    got = {r.file_name: (r.index_status, r.size_bytes) for r in files.import_listed(spark, paths, str(tmp_path)).collect()}
+    assert got == {"a.txt": ("Pending", 5), "b.txt": ("Failed", 0), "c.txt": ("Failed", 0)}
+
+
+def test_a_session_without_a_shared_folder_keeps_one_of_its_own(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "from docketry.session import build_session, cut, shared_dir; s = build_session('x', 'local[1]', 1); d = shared_dir(s); assert d == shared_dir(s) and d.startswith('file:'); print(cut(s.range(3).toDF('x')).count())"
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parent.parent)}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip().endswith("3"), out.stderr[-2000:]
