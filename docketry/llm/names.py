@@ -76,6 +76,11 @@ LINES = {
 }
 LINE_OF = {w: stem for stem, words in LINES.items() for w in words.split()}
 LONG_LINES = [w for w in LINE_OF if len(w) >= 5]
+#: Words for a line of business by what is left when a letter goes.
+_NEAR_LINES: dict[str, list[str]] = {}
+for _w in LONG_LINES:
+    for _d in {_w, *(_w[:i] + _w[i + 1 :] for i in range(len(_w)))}:
+        _NEAR_LINES.setdefault(_d, []).append(_w)
 SMALL_WORDS = {"e", "des", "y", "et", "und", "de", "and"}
 
 
@@ -109,6 +114,13 @@ def shortened(word: str, times: int = 1) -> set[str]:
     return out
 
 
+@lru_cache(100_000)
+def near_line(word: str) -> str | None:
+    """The word for a line of business one slip away from a word of five letters or more."""
+    met = {x for d in shortened(word) for x in _NEAR_LINES.get(d, ())} if len(word) >= 5 else ()
+    return min((x for x in met if slips(word, x) == 1), default=None)
+
+
 @lru_cache(100_000)
 def organization(text: str) -> tuple[tuple[str, ...], tuple[str, ...], str]:
     """(proper words in order, stems of the line of business sorted, legal form)."""
@@ -131,7 +143,7 @@ def organization(text: str) -> tuple[tuple[str, ...], tuple[str, ...], str]:
             line.add(LINE_OF[w])
         elif w in SMALL_WORDS:
             pass
-        elif len(w) >= 5 and (near := next((x for x in LONG_LINES if slips(w, x) == 1), None)):
+        elif near := near_line(w):
             line.add(LINE_OF[near])
         else:
             proper.append(w)

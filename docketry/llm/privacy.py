@@ -126,6 +126,7 @@ COMMON = set(
     "mit ohne aber oder dass auch schon noch gestern heute morgen ist war sind hat hatte wohnt sagte rief bat zahlte schickte will muss kann wird kam unter "
     "avec sans mais ou que aussi déjà encore hier demain est était sont habite demeure dit appelle paie envoie veut doit peut va vient sous chez dans sur".split()
 )
+SMALL_TITLE = re.compile(rf"\b(?:{'|'.join(sorted(SMALL_TITLES))})\.? [{LOW}]")
 SEEDS = frozenset(GIVEN | set(NICKNAMES))
 SMALL_SEEDS = SEEDS - WORDS_TOO
 
@@ -148,8 +149,8 @@ def _family(word: str, ordinary: Collection[str]) -> bool:
     return len(word) > 1 and low not in NO_FAMILY and low not in NO_NAME and low not in ordinary and not (len(word) > 3 and low == "will")
 
 
-def _capital_names(text: str, ordinary: Collection[str], known: Collection[str]) -> list[tuple[int, int, list[str]]]:
-    """Start, end and (where only the form shows a name) its words in small letters, of names written with capitals.
+def _capital_names(text: str, ordinary: Collection[str] = (), known: Collection[str] = ()) -> list[tuple[int, int, list[str]]]:
+    """Start, end and (where only the form shows a name) its words in small letters, of names written with capitals. `known`: given names besides the fixed ones.
 
     A run of capitalised words, initials and titles, joined by single spaces and particles, is cut where an ordinary word stands.
     A stretch is a name if a title, an initial or a known given name opens it and a family name follows, or if it has two words
@@ -191,7 +192,7 @@ def _capital_names(text: str, ordinary: Collection[str], known: Collection[str])
             nxt = NEXT_WORD.match(text, end)
             inside = bool(nxt and _organization_word(nxt[1])) or bool(j < len(parts) and words and _organization_word(parts[j][1]))
             street = bool(j < len(parts) and parts[j][1].lower() in PLACE_WORDS) or bool(STREET_BEFORE.search(text, max(0, at - 24), at))
-            given = bool(words) and _fold(words[0]) in known
+            given = bool(words) and ((low := _fold(words[0])) in SEEDS or low in known)
             opened = (titles and (len(words) > 1 or (words and (initials or not given)))) or (not titles and initials and words and parts[i][1].endswith(".")) or (given and len(words) > 1)
             by_form = not opened and len(words) > 1 and not lead_upper and not PLACE_BEFORE.search(text, max(0, at - 14), at) and not THING_BEFORE.search(text, max(0, at - 10), at)
             if words and not inside and not street and (opened or by_form):
@@ -203,6 +204,8 @@ def _capital_names(text: str, ordinary: Collection[str], known: Collection[str])
 def _small_names(text: str, ordinary: Collection[str] = (), known: Collection[str] = SMALL_SEEDS) -> list[tuple[int, int, list[str]]]:
     """Start, end and the small-letter family words of names opened in small letters; words of `ordinary` and fixed common words are no family names."""
     out, done = [], 0
+    if not known and not SMALL_TITLE.search(text):
+        return out
     for m in SMALL.finditer(text):
         title = m[0] in SMALL_TITLES
         if m.start() < done or not (title or _fold(m[0]) in known) or STREET_BEFORE.search(text, max(0, m.start() - 24), m.start()):
@@ -229,12 +232,11 @@ def mentions(text: str | None, ordinary: Collection[str] | None = (), known: Col
     """(kind, start, end) in order of position; spans do not overlap. NULL and blank texts have none.
 
     `ordinary`: words of the text that the corpus shows to be ordinary words; None: no name is opened in small letters.
-    `known`: given names, besides the fixed ones, that the text may hold (small, without accents).
+    `known`: the given names of the text that may stand in small letters (small, without accents); by default the fixed ones.
     """
     if not text:
         return []
     spans: list[tuple[str, int, int]] = []
-    given = SEEDS.union(known or ())
 
     def add(kind: str, a: int, b: int) -> None:
         if not any(a < y and x < b for _, x, y in spans):
@@ -257,12 +259,12 @@ def mentions(text: str | None, ordinary: Collection[str] | None = (), known: Col
         rest += [text[at:a], "\0" * (b - a)]
         at = b
     text = "".join([*rest, text[at:]])
-    for a, b, _ in _capital_names(text, ordinary or (), given):
+    for a, b, _ in _capital_names(text, ordinary or (), known or ()):
         add("name", a, b)
     if not text.isascii():
         for m in HAN_NAME.finditer(text):
             add("name", m.start(), m.end())
-    for a, b, _ in _small_names(text, ordinary, SMALL_SEEDS.union(known or ())) if ordinary is not None else ():
+    for a, b, _ in _small_names(text, ordinary, SMALL_SEEDS if known is None else known) if ordinary is not None else ():
         add("name", a, b)
     return sorted(spans, key=lambda s: s[1])
 
@@ -282,7 +284,7 @@ _HIT = "src string, record_id string, kind string, nth int, start int, end int,
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
-        rows = [(s, i, *hit) for s, i, t, o, g in zip(*(c.to_pylist() for c in batch.columns)) for hit in _numbered(t, o or (), g)]
+        rows = [(s, i, *hit) for s, i, t, o, g in zip(*(c.to_pylist() for c in batch.columns)) for hit in _numbered(t, o or (), g or ())]
         rows = [(s, i, k, n, a, b, v) for s, i, k, n, a, b, v in rows]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["src", "record_id", "kind", "nth", "start", "end", "value"])
 
@@ -319,7 +321,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)):
-            for *_, words in (*_capital_names(t, (), SEEDS.union(g or ())), *_small_names(t, (), SMALL_SEEDS.union(g or ()))):
+            for *_, words in (*_capital_names(t, (), g or ()), *_small_names(t, (), g or ())):
                 rows += [(s, i, w) for w in words]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["src", "record_id", "word"])
 
@@ -349,9 +351,8 @@ def with_evidence(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """src, record_id, kind, nth, start, end, value: one row per mention of rows with an id and a text, each id once (repeated rows are identical)."""
-    once = rows.filter("record_id IS NOT NULL AND text <> ''").dropDuplicates(["src", "record_id"])
-    return with_evidence(once, names).mapInArrow(_find, _HIT)
+    """src, record_id, kind, nth, start, end, value: one row per mention of rows with an id and a text, each id once (repeated rows are identical, so it is their few mentions that are made distinct, not the texts)."""
+    return with_evidence(rows.filter("record_id IS NOT NULL AND text <> ''"), names).mapInArrow(_find, _HIT).distinct()
 
 
 # --- surrogates --------------------------------------------------------------------------------------------------------
