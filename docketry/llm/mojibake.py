@@ -2,12 +2,14 @@
 
 Characters are mapped back to the bytes of the legacy encoding they were read with. Over those bytes a byte-structure
 automaton (UTF-8 or Shift-JIS lead and trail bytes, compiled as a regular expression) marks the maximal well-formed
-multibyte spans, and only those spans are decoded, again as long as something changes (text may be broken twice).
-
-Legacy encodings of one byte have no such structure. There every candidate pair (read as, really) is applied to a stretch
-and kept only if it lowers the number of signs that do not occur in well-read text: control characters, symbols inside
-words, capitals inside words, loose frame characters; for Cyrillic and Greek the letter frequencies of the language
-decide. A replacement character marks a stretch that cannot be restored. A pure map over rows: no shuffle.
+multibyte spans, and only those spans are decoded, again as long as something changes (text may be broken many times).
+
+Legacy encodings of one byte have no such structure. What the automaton leaves is tried, stretch by stretch, under candidate
+pairs (read as, really), and a pair is kept if it leaves fewer signs where no sign belongs: control characters, symbols inside
+words, capitals inside words, loose frame characters (letters of whatever language are no such signs); for Cyrillic and Greek
+the letter frequencies of the languages decide. Then the corpus is asked: where the words these steps take away are better
+known in well-read texts than the words they bring, the steps are undone. A replacement character marks a stretch that cannot
+be restored.
 """
 
 from __future__ import annotations
@@ -16,9 +18,13 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docketry.session import cut, few
 
 OUTSIDE = chr(0x10FFFD)  # stands for a character that the legacy encoding does not have
 
@@ -120,6 +126,7 @@ def _decode_sjis(text: str) -> str:
 RUSSIAN = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 GREEK = "αοιετσνηςρκπμυλίγδάέόωχήύθφξβώζψ"
 SCORES = {c: math.log(1 / (i + 3)) for letters in (RUSSIAN, GREEK) for i, c in enumerate(letters)}
+SCORES |= {c: math.log(1 / 12) for c in "іїєґјљњћђџўѕ"}  # letters of the other Cyrillic languages
 HIGH_WORD = re.compile("[¡-ÿЀ-џҐґ‐-™]{3,}")
 READ_AS = ("cp1252", "cp1251", "koi8_r", "mac_roman", "cp850", "cp437", "cp866")
 REALLY = ("cp1251", "koi8_r", "cp866", "iso8859_5", "cp1253", "iso8859_7")
@@ -196,7 +203,9 @@ def _foreign_words(text: str) -> str:
 FRAME = "─-▟"
 #: Signs that well-read text of these languages does not show.
 ODD = re.compile(
-    "[\x80-\x84\x86-\x9f]|[¤¦¨¯´¸¼¾·®ÆØÞÐÝåøþðýæƒÅ×÷⌐₧]"  # never
+    "[\x80-\x84\x86-\x9f]|(?<=[A-Za-zÀ-ÿ])[¤¦¨¯´¸¼¾·®ƒ×÷⌐₧]|[¤¦¨¯´¸¼¾®ƒ⌐₧](?=[A-Za-z])"  # signs in words
+    "|(?<![A-Za-zÀ-ž])mý(?![a-z])|(?<=[0-9])[ýþ]|[·](?=[0-9])|(?<![^ \n])[¸¨´¯](?![^ \n])|(?<![^ \n(])ª(?= )"  # raised figures and signs read as letters
+    f"|(?<=[a-zà-ÿ])[ÆØÞÐÝÅ](?=[a-zà-ÿ ,.;)])"  # capitals in small-letter words
     f"|(?<=[A-Za-z])[¡¢£¥©«¬°±³µ¶¹»½¿†‡…‰™ˆ˜‚„•](?=[A-Za-z])"  # signs inside a word
     f"|(?<=[A-Za-z0-9])[{FRAME}]|[{FRAME}](?=[A-Za-z0-9])|(?<![^ \n])[│┤┐┴┬═║╔╗╝╡╢░-▓](?= )"  # loose frames
     "|(?<=[a-z])[À-ÖØ-Þ](?=[a-z ,.;)])|(?<=[A-Z])[à-öø-þ](?=[A-Z])|(?<=[A-Z])ß(?=[A-Z])"  # capitals and small letters in each other's words
@@ -213,19 +222,22 @@ def _odd_word(word: str) -> int:
     return sum(1 for _ in ODD.finditer(word))
 
 
-def odd(text: str) -> int:
-    """Odd signs of a text: over its words with non-ASCII characters, each seen with the digit that follows it, if one does."""
-    words = text.split()
+TURKIC = re.compile("[ğşĞŞİ]")
+
+
+def odd(text: str, dotless: bool = False) -> int:
+    """Odd signs of a text: over its words with non-ASCII characters, each seen with the digit that follows it, if one does. `dotless`: the text is of a language with the letter ı."""
+    words = (text.replace("ı", "i") if dotless else text).split()
     total = 0
     for i in [i for i, w in enumerate(words) if not w.isascii()]:
         w, after = words[i], words[i + 1][0] if i + 1 < len(words) else ""
-        total += _odd_word(f" {w} {after if after.isdigit() else ''}") if len(w) < 60 else sum(1 for _ in ODD.finditer(w))
+        total += _odd_word(f" {w} {after if after.isdigit() else ''}")
     return total
 
 
-def _latin_stretches(text: str, before: int) -> str:
+def _latin_stretches(text: str, before: int, dotless: bool) -> str:
     """Latin text read with another one-byte encoding: sentence by sentence, where that leaves fewer odd signs."""
-    pairs = sorted((odd(_recode(text, a, b)), k) for k, (a, b) in enumerate(LATIN_PAIRS))
+    pairs = sorted((odd(_recode(text, a, b), dotless), k) for k, (a, b) in enumerate(LATIN_PAIRS))
     sentences = SENTENCES.split(text)
     best, best_left = text, before
     for _, k in pairs:  # a pair may spoil the good part of a text and yet be right for one sentence, so all are tried
@@ -236,11 +248,11 @@ def _latin_stretches(text: str, before: int) -> str:
                 out.append(s)
                 continue
             new = _recode(s, a, b)
-            was, now = odd(s), odd(new)
+            was, now = odd(s, dotless), odd(new, dotless)
             on = now < was or (on and now == was == 0)
             out.append(new if on else s)
         joined = "".join(out)
-        left = odd(joined)
+        left = odd(joined, dotless)
         if left < best_left:
             best, best_left = joined, left
     return best
@@ -250,63 +262,123 @@ def _latin_stretches(text: str, before: int) -> str:
 LOST = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 
 
-def restore(text: str | None) -> tuple[str | None, bool, str]:
-    """(text with wrongly decoded stretches restored, whether any was found, what was done).
+class Outcome(NamedTuple):
+    """What became of a text: restored, whether a wrongly decoded stretch was found, what was done; and the same for the multibyte steps alone."""
 
-    NULL, empty and blank texts come back as they are. A found stretch that cannot be restored stays as it is.
-    """
+    text: str | None
+    found: bool
+    how: str
+    sure_text: str | None
+    sure_found: bool
+    sure_how: str
+
+
+def steps(text: str | None) -> Outcome:
+    """The text restored by the byte automaton, as often as it changes something, and then by the one-byte steps."""
     if text is None or text.isascii():
-        return text, False, ""
+        return Outcome(text, False, "", text, False, "")
     done, now = [], text
-    high = len(HIGH_WORD.findall(text)) > 1
-    while high and (new := _foreign_words(now)) != now:
-        done += [] if done else ["one-byte"]
-        now = new
-    for _ in range(3):
+    while True:
         runs = set(RUN.findall(now))
         options = [(codec, new) for codec in READ_AS_UTF8 if runs and (new := _decode_utf8(now, codec, runs)) != now]
         if not options:
             break
-        codec, now = min(options, key=lambda x: (odd(x[1]), len(x[1]))) if len(options) > 1 else options[0]
+        codec, now = min(options, key=lambda x: (odd(x[1]), len(x[1]))) if len(options) > 1 else options[0]  # a decoded span is shorter, so this ends
         done.append(f"utf-8 as {codec}")
-    if high and not (done and KANA.search(now)) and (new := _decode_sjis(now)) != now:
+    high = len(HIGH_WORD.findall(now)) > 1
+    foreign = _foreign_words(now) if high else now
+    if foreign == now and high and not (done and KANA.search(now)) and (new := _decode_sjis(now)) != now:
         done.append("shift-jis as cp1252")
-        now = new
-    left = odd(now)
-    if left and (new := _latin_stretches(now, left)) != now:
+        now = foreign = new
+    sure, sure_done, lost = now, list(done), bool(LOST.search(now))
+    while foreign != now:
+        done += [] if "one-byte" in done else ["one-byte"]
+        now, foreign = foreign, _foreign_words(foreign)
+    dotless = bool(TURKIC.search(now))
+    left = odd(now, dotless)
+    if left and (new := _latin_stretches(now, left, dotless)) != now:
         done.append("one-byte latin")
         now = new
-    lost = bool(LOST.search(now))
-    return now, bool(done) or lost, ", ".join([*done, *["lost"] * lost])
+    still = bool(LOST.search(now))
+    tell = lambda parts, gone: ", ".join([*parts, *["lost"] * gone])
+    return Outcome(now, bool(done) or still, tell(done, still), sure, bool(sure_done) or lost, tell(sure_done, lost))
 
 
-def _restored(with_text: bool):
-    names = ["document_id", "text", "pages", "found", "how"] if with_text else ["document_id", "found"]
+def restore(text: str | None) -> tuple[str | None, bool, str]:
+    """(text with wrongly decoded stretches restored, whether any was found, what was done).
+
+    NULL, empty and blank texts come back as they are. A found stretch that cannot be restored stays as it is.
+    """
+    return steps(text)[:3]
+
+
+LETTERS = re.compile(r"[^\W\d_]+")
+_VOCABULARY = r"[\p{L}\p{M}]*[^\x00-\x7f\P{L}][\p{L}\p{M}]*"
+
+
+def _high_words(text: str | None) -> set[str]:
+    return {w for w in LETTERS.findall(text or "") if not w.isascii()}
+
+
+_SCAN = "document_id string, text string, pages array<string>, found boolean, how string, sure_text string, sure_pages array<string>, sure_found boolean, sure_how string, bad array<string>, good array<string>"
+
+
+def _scanned(with_text: bool):
+    """Both outcomes of every row; the second one's texts, and the words by which they differ, only where one-byte steps did something."""
+    strings = pa.list_(pa.string())
+    kinds = [pa.string(), pa.string(), strings, pa.bool_(), pa.string(), pa.string(), strings, pa.bool_(), pa.string(), strings, strings]
+    names = ["document_id", "text", "pages", "found", "how", "sure_text", "sure_pages", "sure_found", "sure_how", "bad", "good"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, pages = (c.to_pylist() for c in batch.columns)
-            out_t, out_p, found, how = [], [], [], []
-            for t, p in zip(texts, pages):
-                new, hit, did = restore(t)
+            out = []
+            for i, t, p in zip(*(c.to_pylist() for c in batch.columns)):
+                whole = steps(t)
                 parts = None
-                if p is not None and (hit or t is None or t != "\f".join(x or "" for x in p)):
-                    parts = [restore(x) for x in p]
-                out_t.append(new)
-                out_p.append(p if parts is None else [x[0] for x in parts])
-                found.append(hit or any(x[1] for x in parts or []))
-                how.append("; ".join(dict.fromkeys(x for x in (did, *(q[2] for q in parts or [])) if x)) or None)
-            cols = [pa.array(ids, pa.string()), pa.array(out_t, pa.string()), pa.array(out_p, pa.list_(pa.string())), pa.array(found, pa.bool_()), pa.array(how, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols if with_text else [cols[0], cols[3]], names=names)
+                if p is not None and (whole.found or t is None or t != "\f".join(x or "" for x in p)):
+                    parts = [steps(x) for x in p]
+                every = [whole, *(parts or [])]
+                tell = lambda k: "; ".join(dict.fromkeys(x[k] for x in every if x[k])) or None
+                bad, good = set(), set()
+                for x in every:
+                    if x.text != x.sure_text:
+                        before, after = _high_words(x.sure_text), _high_words(x.text)
+                        bad |= before - after
+                        good |= after - before
+                differs = any(x.text != x.sure_text for x in every)
+                pages = lambda k: p if parts is None else [x[k] for x in parts]
+                texts = (whole.text, pages(0), whole.sure_text if differs else None, pages(3) if differs else None) if with_text else (None,) * 4
+                out.append((i, texts[0], texts[1], any(x.found for x in every), tell(2), texts[2], texts[3], any(x.sure_found for x in every), tell(5), sorted(bad) if differs else None, sorted(good) if differs else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names=names)
 
     return run
 
 
+def _judged(extracted: DataFrame, with_text: bool) -> DataFrame:
+    """The scanned rows with `kept`: whether the words of the corpus speak for the one-byte steps.
+
+    One-byte decoding has no structure to prove it. So the words such steps take away and the words they bring are looked up in
+    the texts in which nothing was found: where those they take away are the better known, the steps are undone. Words are
+    counted over all such texts; only the words in question are counted, and meet the texts in a broadcast while they are few.
+    """
+    scanned = cut(extracted.select("document_id", "text", "pages").mapInArrow(_scanned(with_text), _SCAN))
+    doubtful = scanned.filter("bad IS NOT NULL").select("document_id", "bad", "good").dropDuplicates(["document_id"])
+    pairs = cut(doubtful.select("document_id", F.explode("bad").alias("word"), F.lit(-1).alias("side")).unionByName(doubtful.select("document_id", F.explode("good").alias("word"), F.lit(1).alias("side"))))
+    asked = few(cut(pairs.select("word").distinct()))
+    broken = scanned.filter("found").select("document_id").distinct()
+    well_read = extracted.select("document_id", "text").join(broken, "document_id", "left_anti")
+    known = well_read.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_VOCABULARY), F.lit(0)))).alias("word")).join(asked, "word").groupBy("word").agg(F.count("*").alias("n"))
+    votes = pairs.join(known, "word").groupBy("document_id").agg(F.sum(F.col("side") * F.ln(1.0 + F.col("n"))).alias("votes"))
+    return scanned.join(votes, "document_id", "left").withColumn("kept", F.coalesce(F.col("votes") >= 0, F.lit(True)))
+
+
 def restored(extracted: DataFrame) -> DataFrame:
     """document_id, text, pages (both restored where possible), found, how. One row per row; NULLs stay NULL."""
-    return extracted.select("document_id", "text", "pages").mapInArrow(_restored(True), "document_id string, text string, pages array<string>, found boolean, how string")
+    pick = lambda c: F.when(F.col("kept") | F.col("bad").isNull(), F.col(c)).otherwise(F.col(f"sure_{c}")).alias(c)
+    return _judged(extracted, True).select("document_id", *[pick(c) for c in ("text", "pages", "found", "how")])
 
 
 def wrongly_decoded(extracted: DataFrame) -> DataFrame:
     """document_id of texts with at least one wrongly decoded stretch, restorable or not; each once."""
-    return extracted.select("document_id", "text", "pages").mapInArrow(_restored(False), "document_id string, found boolean").filter("found").select("document_id").distinct()
+    found = F.when(F.col("kept") | F.col("bad").isNull(), F.col("found")).otherwise(F.col("sure_found"))
+    return _judged(extracted, False).filter(found).select("document_id").distinct()

@@ -105,6 +105,14 @@ GOOD = [
     "Ущерб оценён в 2 293 руб., часть суммы ещё не уплачена. Сторона не согласна с пунктом 5.",
     "Το ακίνητο έχει εμβαδόν 122 τ.μ. και βρίσκεται βόρεια της πόλης. Η ζημία εκτιμήθηκε σε 3 €.",
     "審理は第190号室から第5号室に変更された。損害額は見積もられ、一部は未払いである。",
+    "Søren Kjærgård drikker øl på Ærø, og Åse køber æbler. Året er gået.",
+    "Þórður Guðmundsson fór að sjá það. Ýmir og Ægir eru í húsinu, íþróttir.",
+    "Işık ağaçları çok güzel; İstanbul'da yağmur yağıyor. Şu kadının adı Ayşe, ıslak.",
+    "Příliš žluťoučký kůň úpěl ďábelské ódy. Nový byt má výhled.",
+    "Zażółć gęślą jaźń. Źródło było żółte, łąka też.",
+    "Київ є столицею України. Її мешканці люблять ґрунт і їжу. Ще не вмерла.",
+    "Byggnaden på Åsgatan är över hundra år; ägaren är okänd.",
+    "Ő fűtött, húsvétkor őrült szőlő.",
     "plain ascii text only", "👩🏽\u200d⚖\ufe0f ok ✅",
 ]
 
@@ -134,10 +142,25 @@ def test_utf8_spans_come_back_even_inside_good_text(wrong, k):
     assert found and new.endswith(GOOD[k])
 
 
+@pytest.mark.parametrize("times", [2, 3, 5])
 @pytest.mark.parametrize("k", [0, 3, 5])
-def test_text_broken_twice_comes_back(k):
-    twice = misread(misread(GOOD[k], "utf-8", "cp1252"), "utf-8", "cp1252")
-    assert mojibake.restore(twice)[:2] == (GOOD[k], True)
+def test_text_broken_many_times_comes_back(k, times):
+    bad = GOOD[k]
+    for _ in range(times):
+        bad = misread(bad, "utf-8", "cp1252")
+    assert mojibake.restore(bad)[:2] == (GOOD[k], True)
+
+
+def test_the_corpus_can_overrule_a_one_byte_step(spark):
+    bad = misread("Die Erklärung zur Prämie kam für die Übergabe zu spät an.", "cp1252", "cp850")
+    good, found, how = mojibake.restore(bad)
+    assert found and how == "one-byte latin" and "Erklärung" in good
+    kind = "document_id string, text string, pages array<string>"
+    for words, want in (("Erklärung Prämie", good), ("Erklõrung Prõmie spõt", bad), ("nothing known", good)):
+        df = spark.createDataFrame([("x", bad, None), *[(f"w{i}", f"{words} here.", None) for i in range(5)]], kind)
+        row = mojibake.restored(df).filter("document_id = 'x'").first()
+        assert (row.text, row.found) == (want, want == good)
+        assert mojibake.wrongly_decoded(df).count() == (want == good)
 
 
 @pytest.mark.parametrize("k, right, wrong", [(5, "cp1251", "latin-1"), (5, "koi8_r", "cp1251"), (6, "cp1253", "latin-1"), (7, "cp932", "cp1252"), (0, "cp850", "latin-1"), (0, "cp1252", "cp850"), (1, "cp1252", "cp437")])
