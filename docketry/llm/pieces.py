@@ -53,7 +53,9 @@ def cuts(text: str, start: int, end: int, size: int) -> list[int]:
 
 
 def spans(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
-    """(start, end, core start) of each piece, in code points; of the text without white space at both ends. Blank or NULL: none."""
+    """(start, end, core start) of each piece, in code points; of the text without white space at both ends. Blank or NULL: none. The overlap must be smaller than the limit."""
+    if not 0 <= overlap < limit:
+        raise ValueError(f"an overlap of {overlap} does not fit pieces of {limit}")
     if text is None:
         return []
     body = text.strip(WHITE)

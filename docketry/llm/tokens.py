@@ -228,8 +228,9 @@ class Encoder:
         hit = (slot >= 0) & (self.h1[slot] == h1) & (self.h2[slot] == h2)
         miss = np.flatnonzero(~hit)
         n_ids = np.ones(len(starts), np.int64)
-        _, one, which = np.unique(h1[miss] ^ (h2[miss] << np.uint64(1)), return_index=True, return_inverse=True)
-        found = [self._miss(joined[a:b]) for a, b in zip(starts[miss[one]].tolist(), ends[miss[one]].tolist())]
+        seen: dict[str, int] = {}  # the misses of these texts, each worked out once
+        which = np.fromiter((seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts[miss].tolist(), ends[miss].tolist())), np.int64, len(miss))
+        found = [self._miss(word) for word in seen]
         size = np.fromiter(map(len, found), np.int64, len(found))
         n_ids[miss] = size[which]
         offset = np.concatenate([[0], np.cumsum(n_ids)])

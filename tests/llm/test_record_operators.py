@@ -310,20 +310,32 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_weights_meet_the_target_or_the_limit():
-    got = mixing.weights(1000, [0.5, 0.3, 0.2], [2000, 2000, 2000], [1, 1, 1])
-    assert [round(d) for d, _ in got] == [500, 300, 200] and {a for _, a in got} == {0.0}
-    got = mixing.weights(1000, [0.5, 0.3, 0.2], [100, 2000, 2000], [2, 1, 1])
-    assert round(got[0][0]) == 200 and 0 < got[0][1] <= 1 and round(sum(d for d, _ in got)) == 1000
-    assert abs(got[1][0] / got[2][0] - 1.5) < 1e-9
-    got = mixing.weights(10_000, [0.5, 0.5, 0.0], [100, 0, 50], [2, 3, 9])
-    assert [round(d) for d, _ in got] == [200, 0, 0]
-    assert mixing.weights(0, [1.0], [5], [1])[0][0] == 0
+    draw, *_ = mixing.weights(1000, [0.5, 0.3, 0.2], [2000, 2000, 2000], [1, 1, 1])
+    assert [round(d) for d in draw] == [500, 300, 200]
+    draw, exponent, how, tilt = mixing.weights(1000, [0.5, 0.3, 0.2], [100, 3000, 1000], [2, 1, 1])
+    assert round(draw[0]) == 200 and round(sum(draw)) == 1000 and abs(sum(tilt) - 1) < 1e-9
+    # what the limited source gives up goes to the others by their tempered weights
+    assert abs((draw[1] - 300) / (draw[2] - 200) - tilt[1] / tilt[2]) < 1e-6 and tilt[1] > tilt[2]
+    draw, *_ = mixing.weights(10_000, [0.5, 0.5, 0.0], [100, 0, 50], [2, 3, 9])
+    assert [round(d) for d in draw] == [200, 0, 0]
+    assert mixing.weights(0, [1.0], [5], [1])[0][0] == 0 and mixing.weights(10, [], [], [])[0] == []
+
+
+def test_one_temperature_has_the_entropy_of_the_targets_or_keeps_the_limits():
+    shares, target = [0.7, 0.2, 0.1], [0.5, 0.3, 0.2]
+    a, how = mixing.temperature(shares, target, [1.0] * 3)
+    assert how == "entropy" and 0 < a < 1 and abs(mixing.entropy(mixing.tempered(shares, a)) - mixing.entropy(target)) < 1e-9
+    b, how = mixing.temperature(shares, target, [1.0, 1.0, 0.15])
+    assert how == "limit" and a < b < 1 and abs(mixing.tempered(shares, b)[2] - 0.15) < 1e-9
+    assert mixing.temperature(shares, target, [1.0, 1.0, 0.01]) == (1.0, "natural")
+    sharp, how = mixing.temperature(shares, [0.95, 0.04, 0.01], [1.0] * 3)
+    assert how == "entropy" and sharp > 1
 
 
 def test_capped_sources_draw_their_limit_to_the_last_token():
     for budget in range(1000, 1400):
-        (draw, _), (rest, _) = mixing.weights(budget, [0.7, 0.3], [97, 5000], [3, 1])
-        assert draw == 291 and abs(rest - (budget - 291)) < 1e-9
+        (draw, rest), *_ = mixing.weights(budget, [0.7, 0.3], [97, 5000], [3, 1])
+        assert draw == 291 and abs(rest - (budget - 291)) < 1e-6
 
 
 def test_draws_keep_limits_and_shares(spark):

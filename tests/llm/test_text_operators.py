@@ -84,6 +84,11 @@ def test_cuts_lie_at_natural_boundaries():
     assert all(s == core or text[s - 1].isspace() for s, _, core in got[1:])
 
 
+def test_an_overlap_must_be_smaller_than_the_limit():
+    with pytest.raises(ValueError):
+        pieces.spans("word " * 50, 20, 20)
+
+
 def test_items_are_pages_or_text(spark):
     long = "some words here. " * 200
     rows = [("a", long, None), ("b", "x", ["short", long, None, ""]), ("c", long, []), ("d", None, None), ("e", " \n", None), ("a", long, None), (None, long, None)]
