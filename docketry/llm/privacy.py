@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docketry.llm.names import FEMALE_GIVEN, GIVEN, LEGAL, LONG_LINES, MALE_GIVEN, NICKNAMES, plain
 from docketry.operators.keyword import folded
-from docketry.session import cut
+from docketry.session import cut, few
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 UP = "A-ZÀ-ÖØ-ÞŠŽĀĒĪŌŪÕÃ"
@@ -282,13 +282,23 @@ _HIT = "src string, record_id string, kind string, nth int, start int, end int,
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mentions of each text. Where no evidence comes with it (two columns less), the words of names that only the corpus can judge come out as well, as kind `?`."""
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
-        rows = [(s, i, *hit) for s, i, t, o, g in zip(*(c.to_pylist() for c in batch.columns)) for hit in _numbered(t, o or (), g or ())]
-        rows = [(s, i, k, n, a, b, v) for s, i, k, n, a, b, v in rows]
+        rows = []
+        first = batch.num_columns == 3
+        for s, i, t, *evidence in zip(*(c.to_pylist() for c in batch.columns)):
+            ordinary, known = evidence or ((), ())
+            rows += [(s, i, *hit) for hit in _numbered(t, ordinary or (), known or ())]
+            if first:
+                rows += [(s, i, "?", None, None, None, w) for w in _pending(t, ())]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["src", "record_id", "kind", "nth", "start", "end", "value"])
 
 
+def _pending(text: str, known: Collection[str]) -> list[str]:
+    return [w for *_, words in (*_capital_names(text, (), known), *_small_names(text, (), known)) for w in words]
+
+
 def texts(people: DataFrame, cases: DataFrame, messages: DataFrame) -> DataFrame:
     """src, record_id, text of the three free-text columns, all rows."""
     parts = [t.select(F.lit(s).alias("src"), F.col("id").alias("record_id"), F.col(c).alias("text")) for t, s, c in ((people, "people", "notes"), (cases, "cases", "description"), (messages, "messages", "content"))]
@@ -299,8 +309,6 @@ def texts(people: DataFrame, cases: DataFrame, messages: DataFrame) -> DataFrame
 
 #: A given name of the catalogue counts as one when it stands before so many different names.
 BEARERS = 3
-#: Lists of given names up to so many rows are broadcast; longer ones meet the words of the texts in a shuffle.
-FEW = 200_000
 
 
 def given_names(names: DataFrame) -> DataFrame:
@@ -312,47 +320,42 @@ def given_names(names: DataFrame) -> DataFrame:
 
 
 _SMALL_WORD = r"(?<![\p{L}\p{N}_@./’'-])\p{Ll}[\p{L}\p{N}_]*(?:[’'-]\p{Ll}[\p{L}\p{N}_]+)*"
-_SMALL_TITLE = rf"\b(?:{'|'.join(sorted(SMALL_TITLES))})\.? \p{{Ll}}"
-_CAPITAL_RUN = r"\p{Lu}[\p{L}\p{M}’'.-]* (?:\p{Ll}{1,3} ){0,2}\p{Lu}"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, record_id, word: the words of possible names that only the corpus can tell from ordinary words."""
     for batch in batches:
-        rows: list[tuple] = []
-        for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)):
-            for *_, words in (*_capital_names(t, (), g or ()), *_small_names(t, (), g or ())):
-                rows += [(s, i, w) for w in words]
+        rows = [(s, i, w) for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)) for w in _pending(t, g)]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["src", "record_id", "word"])
 
 
-def with_evidence(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """src, record_id, text, ordinary, known: with each text the given names of the corpus that it holds, and those of its possible name words that stand in small letters outside such names at least as often as inside.
+def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """src, record_id, kind, nth, start, end, value: one row per mention of rows with an id and a text, each id once (repeated rows are identical, so it is their few mentions that are made distinct, not the texts).
 
-    `names`: word, bearers. A given name that stands in small letters more often than it has bearers (a word that is a name, too)
-    opens nothing. Words are counted by distributed sums over all texts; only small lists are broadcast (FEW), longer ones are shuffled.
+    Every text is read once as it is. Two things only the corpus knows: which given names there are besides the fixed ones
+    (`names`: word, bearers; one that stands in small letters more often than it has bearers, a word that is a name, too, opens
+    nothing), and which words of a possible name stand in small letters outside such names at least as often as inside (they are
+    ordinary words). The few rows that hold such names or words are read once more with them. Words are counted by distributed
+    sums over all texts; only small lists are broadcast (`few`), longer ones are shuffled.
     """
-    seeds = rows.sparkSession.createDataFrame([(w,) for w in sorted(SMALL_SEEDS)], "word string")
-    small = rows.select("src", "record_id", F.explode(F.regexp_extract_all("text", F.lit(_SMALL_WORD), F.lit(0))).alias("word"))
+    rows = rows.filter("record_id IS NOT NULL AND text <> ''").select("src", "record_id", "text")
+    row = ["src", "record_id"]
+    small = rows.select(F.explode(F.regexp_extract_all("text", F.lit(_SMALL_WORD), F.lit(0))).alias("word"))
     uses = cut(small.groupBy("word").agg(F.count("*").alias("uses")))
     by_fold = uses.groupBy(F.regexp_extract(folded("word"), r"^[^-]+", 0).alias("word")).agg(F.sum("uses").alias("uses"))
-    learned = names.join(by_fold, "word", "left").filter(F.coalesce("uses", F.lit(0)) <= F.col("bearers")).select("word")
-    given = cut(learned.unionByName(seeds).distinct())
-    lookup = F.broadcast(given) if given.count() <= FEW else given
-    spoken = rows.select("src", "record_id", F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
-    known = cut(spoken.join(lookup, "word").groupBy("src", "record_id").agg(F.collect_set("word").alias("known")))
-    hopeful = rows.join(known, ["src", "record_id"], "left").filter(F.col("known").isNotNull() | F.col("text").rlike(_CAPITAL_RUN) | F.col("text").rlike(_SMALL_TITLE))
-    maybe = cut(hopeful.select("src", "record_id", "text", "known").mapInArrow(_candidates, "src string, record_id string, word string"))
-    inside = maybe.groupBy("word").agg(F.count("*").alias("inside"))
-    ordinary = inside.join(uses, "word").filter(F.col("uses") - F.col("inside") >= F.col("inside")).select("word")
-    common = maybe.join(ordinary, "word").groupBy("src", "record_id").agg(F.collect_set("word").alias("ordinary"))
-    evidence = known.join(common, ["src", "record_id"], "full_outer")
-    return rows.join(evidence, ["src", "record_id"], "left").select("src", "record_id", "text", "ordinary", "known")
-
-
-def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """src, record_id, kind, nth, start, end, value: one row per mention of rows with an id and a text, each id once (repeated rows are identical, so it is their few mentions that are made distinct, not the texts)."""
-    return with_evidence(rows.filter("record_id IS NOT NULL AND text <> ''"), names).mapInArrow(_find, _HIT).distinct()
+    seeds = rows.sparkSession.createDataFrame([(w,) for w in sorted(SMALL_SEEDS)], "word string")
+    given = cut(names.join(by_fold, "word", "left").filter(F.coalesce("uses", F.lit(0)) <= F.col("bearers")).select("word").unionByName(seeds).distinct())
+    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
+    known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known")))
+    first = cut(rows.mapInArrow(_find, _HIT).distinct())
+    again = rows.join(known, row).select(*row, "text", "known").mapInArrow(_candidates, "src string, record_id string, word string")
+    pending = cut(first.filter("kind = '?'").select(*row, F.col("value").alias("word")).join(known, row, "left_anti").unionByName(again))
+    inside = pending.groupBy(folded("word").alias("fold"), "word").agg(F.count("*").alias("inside"))
+    ordinary = inside.join(uses, "word").filter(F.col("uses") - F.col("inside") >= F.col("inside")).join(given.withColumnRenamed("word", "fold"), "fold", "left_anti").select("word")  # a given name stays one
+    common = pending.join(ordinary, "word").groupBy(*row).agg(F.collect_set("word").alias("ordinary"))
+    evidence = cut(known.join(common, row, "full_outer"))
+    second = rows.join(evidence, row).select(*row, "text", "ordinary", "known").mapInArrow(_find, _HIT).distinct()
+    return first.filter("kind <> '?'").join(evidence, row, "left_anti").unionByName(second)
 
 
 # --- surrogates --------------------------------------------------------------------------------------------------------
@@ -437,11 +440,10 @@ def _name_word(draw: _Draw, word: str, shape: str, attempt: int) -> str:
     """A word for a word of a name: of its script; a given name of its gender, or syllables, more of them with every few attempts."""
     s = script(word)
     female, male, syllables = POOLS[s]
-    tail = "".join(syllables[draw(len(syllables))] for _ in range((1 if s == "H" else 2) + draw(2) + attempt // 4))
     if shape == "family":
-        return tail
+        return "".join(syllables[draw(len(syllables))] for _ in range((1 if s == "H" else 3) + draw(2) + attempt // 2))
     pool = female if shape == "female" else male
-    return pool[draw(len(pool))].lower() + ("" if not attempt else syllables[draw(len(syllables))] + (tail if attempt > 2 else ""))
+    return pool[draw(len(pool))].lower() + "".join(syllables[draw(len(syllables))] for _ in range(attempt if s == "H" else attempt + 1))
 
 
 @lru_cache(64)
@@ -583,8 +585,9 @@ def entity_surrogates(values: DataFrame, key: bytes) -> DataFrame:
         drawn = cut(todo.mapInArrow(_surrogates(key), "kind string, value string, entity string, shape string, attempt int, surrogate string, got string"))
         taken = named.select("kind", F.col("entity").alias("got"))
         taken = taken if done is None else taken.unionByName(done.select("kind", "got"))
-        owners = drawn.groupBy("kind", "got").agg(F.min("entity").alias("first"))
-        free = owners.join(taken, ["kind", "got"], "left_anti")
+        owners = few(cut(drawn.groupBy("kind", "got").agg(F.min("entity").alias("first"))))  # few but in the first round, so what is taken need not move
+        clash = taken.join(owners.select("kind", "got"), ["kind", "got"]).distinct()
+        free = owners.join(clash, ["kind", "got"], "left_anti")
         bad = drawn.join(free.select("kind", "got", F.col("first").alias("entity"), F.lit(True).alias("ok")), ["kind", "got", "entity"], "left").groupBy("kind", "entity").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
         judged = cut(drawn.join(bad, ["kind", "entity"]))
         good = judged.filter("ok").select("kind", "value", "entity", "surrogate", "got")
