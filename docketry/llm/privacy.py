@@ -54,7 +54,7 @@ ID_WORDS = (
 )
 ID_CODE = r"(?:[A-Z]{1,2}[ -]?)?\d(?:[\dA-Z]|[ .\-/](?=[\dA-Z])){4,16}(?:[ -]?[A-Z](?![\w]))?"
 ID_NUMBER = re.compile(
-    rf"(?<![\w.-])(?:(?<=[\s(:]){ID_WORDS}|^{ID_WORDS}|{ID_WORDS})[\s:.#]{{1,3}}(?:n[°º.]{{1,2}}\s)?({ID_CODE})"
+    rf"(?<![\w.-])(?=[SsNnTtPpRrDdFfCcIiAaUuEeOoJ]){ID_WORDS}[\s:.#]{{1,3}}(?:n[°º.]{{1,2}}\s)?({ID_CODE})"
     r"|(?<![\w.-])(\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|QQ \d{2} \d{2} \d{2} [A-D]|(?<!\d)\d{8}[A-HJ-NP-TV-Z](?!\w)|[XYZ]\d{7}[A-Z])(?![\w-])"
 )
 HINT = re.compile(r"\d")
@@ -149,14 +149,15 @@ def _family(word: str, ordinary: Collection[str]) -> bool:
     return len(word) > 1 and low not in NO_FAMILY and low not in NO_NAME and low not in ordinary and not (len(word) > 3 and low == "will")
 
 
-def _capital_names(text: str, ordinary: Collection[str] = (), known: Collection[str] = ()) -> list[tuple[int, int, list[str]]]:
-    """Start, end and (where only the form shows a name) its words in small letters, of names written with capitals. `known`: given names besides the fixed ones.
+def _capital_names(text: str, ordinary: Collection[str] = (), known: Collection[str] = ()) -> tuple[list[tuple[int, int, list[str]]], bool]:
+    """Start, end and (where only the form shows a name) its words in small letters, of names written with capitals; and whether more given names could change the outcome. `known`: given names besides the fixed ones.
 
     A run of capitalised words, initials and titles, joined by single spaces and particles, is cut where an ordinary word stands.
     A stretch is a name if a title, an initial or a known given name opens it and a family name follows, or if it has two words
     or more of mixed case; not if words of an organisation, a street or a place belong to it.
     """
     out: list[tuple[int, int, list[str]]] = []
+    unsure = False
     for run in RUN.finditer(text):
         parts = [(m.start(2) + run.start(), m[2]) for m in PART.finditer(run[0])]
         i = 0
@@ -195,10 +196,12 @@ def _capital_names(text: str, ordinary: Collection[str] = (), known: Collection[
             given = bool(words) and ((low := _fold(words[0])) in SEEDS or low in known)
             opened = (titles and (len(words) > 1 or (words and (initials or not given)))) or (not titles and initials and words and parts[i][1].endswith(".")) or (given and len(words) > 1)
             by_form = not opened and len(words) > 1 and not lead_upper and not PLACE_BEFORE.search(text, max(0, at - 14), at) and not THING_BEFORE.search(text, max(0, at - 10), at)
-            if words and not inside and not street and (opened or by_form):
-                out.append((at, end, [] if opened else [w.lower() for w in words]))
+            if words and not inside and not street:
+                if opened or by_form:
+                    out.append((at, end, [] if opened else [w.lower() for w in words]))
+                unsure |= not given and ((len(words) > 1 and not opened and not by_form) or bool(titles and len(words) == 1 and not initials))
             i = max(j, i + 1)
-    return out
+    return out, unsure
 
 
 def _small_names(text: str, ordinary: Collection[str] = (), known: Collection[str] = SMALL_SEEDS) -> list[tuple[int, int, list[str]]]:
@@ -234,8 +237,12 @@ def mentions(text: str | None, ordinary: Collection[str] | None = (), known: Col
     `ordinary`: words of the text that the corpus shows to be ordinary words; None: no name is opened in small letters.
     `known`: the given names of the text that may stand in small letters (small, without accents); by default the fixed ones.
     """
-    if not text:
-        return []
+    return _scan(text, ordinary, known)[0] if text else []
+
+
+def _scan(text: str, ordinary: Collection[str] | None, known: Collection[str] | None) -> tuple[list[tuple[str, int, int]], list[str], bool]:
+    """The mentions of a text, the words of its names that only the corpus can tell from ordinary words, and whether more given names could change the outcome."""
+    pending: list[str] = []
     spans: list[tuple[str, int, int]] = []
 
     def add(kind: str, a: int, b: int) -> None:
@@ -259,46 +266,41 @@ def mentions(text: str | None, ordinary: Collection[str] | None = (), known: Col
         rest += [text[at:a], "\0" * (b - a)]
         at = b
     text = "".join([*rest, text[at:]])
-    for a, b, _ in _capital_names(text, ordinary or (), known or ()):
+    names, unsure = _capital_names(text, ordinary or (), known or ())
+    for a, b, words in names:
         add("name", a, b)
+        pending += words
     if not text.isascii():
         for m in HAN_NAME.finditer(text):
             add("name", m.start(), m.end())
-    for a, b, _ in _small_names(text, ordinary, SMALL_SEEDS if known is None else known) if ordinary is not None else ():
+    for a, b, words in _small_names(text, ordinary, SMALL_SEEDS if known is None else known) if ordinary is not None else ():
         add("name", a, b)
-    return sorted(spans, key=lambda s: s[1])
-
-
-def _numbered(text: str | None, ordinary: Collection[str] | None, known: Collection[str] | None) -> list[tuple[str, int, int, int, str]]:
-    seen: dict[str, int] = {}
-    out = []
-    for kind, a, b in mentions(text, ordinary, known):
-        seen[kind] = seen.get(kind, 0) + 1
-        out.append((kind, seen[kind], a, b, text[a:b]))
-    return out
+        pending += words
+    return sorted(spans, key=lambda s: s[1]), pending, unsure
 
 
 _HIT = "src string, record_id string, kind string, nth int, start int, end int, value string"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mentions of each text. Where no evidence comes with it (two columns less), the words of names that only the corpus can judge come out as well, as kind `?`."""
+    """The mentions of each text. Where no evidence comes with it (two columns less), the words of names that only the corpus can judge come out as well, as kind `?`, and texts that more given names could change, as kind `!`."""
     kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
         rows = []
         first = batch.num_columns == 3
         for s, i, t, *evidence in zip(*(c.to_pylist() for c in batch.columns)):
             ordinary, known = evidence or ((), ())
-            rows += [(s, i, *hit) for hit in _numbered(t, ordinary or (), known or ())]
+            spans, pending, unsure = _scan(t, ordinary or (), known or ())
+            seen = dict.fromkeys(KINDS, 0)
+            for kind, a, b in spans:
+                seen[kind] += 1
+                rows.append((s, i, kind, seen[kind], a, b, t[a:b]))
             if first:
-                rows += [(s, i, "?", None, None, None, w) for w in _pending(t, ())]
+                rows += [(s, i, "?", None, None, None, w) for w in pending]
+                rows += [(s, i, "!", None, None, None, None)] * unsure
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["src", "record_id", "kind", "nth", "start", "end", "value"])
 
 
-def _pending(text: str, known: Collection[str]) -> list[str]:
-    return [w for *_, words in (*_capital_names(text, (), known), *_small_names(text, (), known)) for w in words]
-
-
 def texts(people: DataFrame, cases: DataFrame, messages: DataFrame) -> DataFrame:
     """src, record_id, text of the three free-text columns, all rows."""
     parts = [t.select(F.lit(s).alias("src"), F.col("id").alias("record_id"), F.col(c).alias("text")) for t, s, c in ((people, "people", "notes"), (cases, "cases", "description"), (messages, "messages", "content"))]
@@ -325,7 +327,7 @@ _SMALL_WORD = r"(?<![\p{L}\p{N}_@./’'-])\p{Ll}[\p{L}\p{N}_]*(?:[’'-]\p{Ll}[\
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, record_id, word: the words of possible names that only the corpus can tell from ordinary words."""
     for batch in batches:
-        rows = [(s, i, w) for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)) for w in _pending(t, g)]
+        rows = [(s, i, w) for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)) for w in _scan(t, (), g)[1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["src", "record_id", "word"])
 
 
@@ -345,17 +347,20 @@ def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
     by_fold = uses.groupBy(F.regexp_extract(folded("word"), r"^[^-]+", 0).alias("word")).agg(F.sum("uses").alias("uses"))
     seeds = rows.sparkSession.createDataFrame([(w,) for w in sorted(SMALL_SEEDS)], "word string")
     given = cut(names.join(by_fold, "word", "left").filter(F.coalesce("uses", F.lit(0)) <= F.col("bearers")).select("word").unionByName(seeds).distinct())
-    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
-    known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known")))
+    # Given names written small or all in capitals open names that nothing else shows; in other texts they matter only where the first reading was unsure.
+    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("own")).select(*row, folded("own").alias("word"), F.coalesce(~F.col("own").rlike(r"^\p{Lu}\p{Ll}"), F.lit(True)).alias("bare"))
+    known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known"), F.max("bare").alias("bare")))
     first = cut(rows.mapInArrow(_find, _HIT).distinct())
-    again = rows.join(known, row).select(*row, "text", "known").mapInArrow(_candidates, "src string, record_id string, word string")
-    pending = cut(first.filter("kind = '?'").select(*row, F.col("value").alias("word")).join(known, row, "left_anti").unionByName(again))
+    unsure = first.filter("kind = '!'").select(*row).distinct()
+    matters = cut(known.filter("bare").select(*row, "known").unionByName(known.filter("NOT bare").join(unsure, row, "left_semi").select(*row, "known")))
+    again = rows.join(few(matters), row).select(*row, "text", "known").mapInArrow(_candidates, "src string, record_id string, word string")
+    pending = cut(first.filter("kind = '?'").select(*row, F.col("value").alias("word")).join(matters, row, "left_anti").unionByName(again))
     inside = pending.groupBy(folded("word").alias("fold"), "word").agg(F.count("*").alias("inside"))
     ordinary = inside.join(uses, "word").filter(F.col("uses") - F.col("inside") >= F.col("inside")).join(given.withColumnRenamed("word", "fold"), "fold", "left_anti").select("word")  # a given name stays one
     common = pending.join(ordinary, "word").groupBy(*row).agg(F.collect_set("word").alias("ordinary"))
-    evidence = cut(known.join(common, row, "full_outer"))
-    second = rows.join(evidence, row).select(*row, "text", "ordinary", "known").mapInArrow(_find, _HIT).distinct()
-    return first.filter("kind <> '?'").join(evidence, row, "left_anti").unionByName(second)
+    evidence = cut(common.join(known.select(*row, "known"), row, "left").unionByName(matters.join(common, row, "left_anti").select(*row, F.lit(None).cast("array<string>").alias("ordinary"), "known")))
+    second = rows.join(few(evidence), row).select(*row, "text", "ordinary", "known").mapInArrow(_find, _HIT).distinct()
+    return first.filter("kind NOT IN ('?', '!')").join(evidence, row, "left_anti").unionByName(second)
 
 
 # --- surrogates --------------------------------------------------------------------------------------------------------
