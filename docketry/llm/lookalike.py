@@ -134,7 +134,7 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [None if t is None else settle(t) for t in batch.column(1).to_pylist()]
         found = [[{"token": a, "result": b, "rank": k} for a, b, k in proposals(t)] if t else [] for t in texts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, _PROPOSAL)], names=["doc_id", "text", "proposals"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2), pa.array(found, _PROPOSAL)], names=["doc_id", "text", "spelling", "proposals"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +153,20 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pairs = [dict(p or []) for p in batch.column(2).to_pylist()]
+        pairs = [dict(p or []) for p in batch.column(3).to_pylist()]
         texts = [apply(t, p) for t, p in zip(batch.column(1).to_pylist(), pairs)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "spelling"])
 
 
 def canonical(documents: DataFrame) -> DataFrame:
     """doc_id, text: every text in its consistent form; NULL stays NULL and empty stays empty. doc_id is taken as unique."""
-    source = documents.select("doc_id", "text")
-    settled = cut(source.mapInArrow(_settled, "doc_id bigint, text string, proposals array<struct<token:string,result:string,rank:int>>"))
+    return _consistent(documents).select("doc_id", "text")
+
+
+def _consistent(documents: DataFrame) -> DataFrame:
+    """doc_id, text, spelling: the consistent form with a hash of the text as it was."""
+    source = documents.select("doc_id", "text", F.md5("text").alias("spelling"))
+    settled = cut(source.mapInArrow(_settled, "doc_id bigint, text string, spelling string, proposals array<struct<token:string,result:string,rank:int>>"))
     suspect = settled.filter(F.size("proposals") > 0)
     asked = suspect.select("doc_id", F.inline("proposals"))
     pairs = asked.groupBy("token", "result").agg(F.min("rank").alias("rank"))
@@ -172,8 +177,8 @@ def canonical(documents: DataFrame) -> DataFrame:
     best = fit.withColumn("k", F.row_number().over(W.partitionBy("token", "rank").orderBy("result"))).filter("k = 1").select("token", "result", "rank")
     chosen = asked.join(best, ["token", "result", "rank"]).withColumn("k", F.row_number().over(W.partitionBy("doc_id", "token").orderBy("rank", "result"))).filter("k = 1")
     fixes = chosen.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "result"))).alias("fixes"))
-    fixed = suspect.select("doc_id", "text").join(fixes, "doc_id", "left").select("doc_id", "text", "fixes").mapInArrow(_repaired, "doc_id bigint, text string")
-    return settled.filter(F.size("proposals") == 0).select("doc_id", "text").unionByName(fixed)
+    fixed = suspect.select("doc_id", "text", "spelling").join(fixes, "doc_id", "left").mapInArrow(_repaired, "doc_id bigint, text string, spelling string")
+    return settled.filter(F.size("proposals") == 0).select("doc_id", "text", "spelling").unionByName(fixed)
 
 
 def same_look(documents: DataFrame) -> DataFrame:
@@ -182,9 +187,7 @@ def same_look(documents: DataFrame) -> DataFrame:
     Spellings are paired first, each (form, spelling) once; documents come in only for spellings that have a partner, so a
     group of exact copies alone costs one aggregated row. NULL and blank texts give no pair.
     """
-    form = canonical(documents).filter(~F.col("text").rlike(r"^[\s\p{Z}]*$")).select("doc_id", F.md5("text").alias("form"))
-    spelling = documents.filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("spelling"))
-    rows = cut(form.join(spelling, "doc_id"))
+    rows = cut(_consistent(documents).filter(~F.col("text").rlike(r"^[\s\p{Z}]*$")).select("doc_id", F.md5("text").alias("form"), "spelling"))
     kinds = rows.select("form", "spelling").distinct()
     several = kinds.groupBy("form").count().filter("count > 1").select("form")
     live = kinds.join(several, "form", "left_semi")
