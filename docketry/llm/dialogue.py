@@ -107,7 +107,7 @@ def verdicts(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     `broken order` (starts with a reply, reply after reply, or no reply at the end). Messages without a conversation id are
     no conversation and give no row. Empty tables give no rows.
     """
-    rows = prepared(messages.filter("conversation_id IS NOT NULL"), keep_content=False)
+    rows = cut(prepared(messages.filter("conversation_id IS NOT NULL"), keep_content=False))  # narrow, and read twice
     flags = rows.groupBy("conversation_id").agg(F.max(F.col("role").isNull()).alias("bad_role"), F.max(F.col("at").isNull()).alias("bad_time"))
     known = conversations.select(F.col("id").alias("conversation_id")).filter("conversation_id IS NOT NULL").distinct().withColumn("known", F.lit(True))
     judged = automaton(rows.filter("turn"))
