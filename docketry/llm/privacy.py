@@ -20,11 +20,12 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.llm.names import FEMALE_GIVEN, GIVEN, LEGAL, LONG_LINES, MALE_GIVEN, NICKNAMES, plain
 from docketry.operators.keyword import folded
-from docketry.session import cut, few
+from docketry.session import FEW, cut, few
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 UP = "A-ZÀ-ÖØ-ÞŠŽĀĒĪŌŪÕÃ"
@@ -348,11 +349,12 @@ def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
     seeds = rows.sparkSession.createDataFrame([(w,) for w in sorted(SMALL_SEEDS)], "word string")
     given = cut(names.join(by_fold, "word", "left").filter(F.coalesce("uses", F.lit(0)) <= F.col("bearers")).select("word").unionByName(seeds).distinct())
     # Given names written small or all in capitals open names that nothing else shows; in other texts they matter only where the first reading was unsure.
-    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]{3,}"), F.lit(0)))).alias("own")).select(*row, folded("own").alias("word"), F.coalesce(~F.col("own").rlike(r"^\p{Lu}\p{Ll}"), F.lit(True)).alias("bare"))
-    known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known"), F.max("bare").alias("bare")))
+    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
+    known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known")))
     first = cut(rows.mapInArrow(_find, _HIT).distinct())
-    unsure = first.filter("kind = '!'").select(*row).distinct()
-    matters = cut(known.filter("bare").select(*row, "known").unionByName(known.filter("NOT bare").join(unsure, row, "left_semi").select(*row, "known")))
+    unsure = first.filter("kind = '!'").select(*row).distinct().withColumn("unsure", F.lit(True))
+    bare = F.split(folded(F.concat_ws(" ", F.regexp_extract_all("text", F.lit(r"(?<!\p{L})(?:\p{Ll}[\p{L}\p{M}]{2,}|\p{Lu}{3,})(?!\p{L})"), F.lit(0)))), " ")
+    matters = cut(rows.join(few(known), row).join(unsure, row, "left").filter(F.col("unsure") | F.arrays_overlap("known", bare)).select(*row, "known").dropDuplicates(row))
     again = rows.join(few(matters), row).select(*row, "text", "known").mapInArrow(_candidates, "src string, record_id string, word string")
     pending = cut(first.filter("kind = '?'").select(*row, F.col("value").alias("word")).join(matters, row, "left_anti").unionByName(again))
     inside = pending.groupBy(folded("word").alias("fold"), "word").agg(F.count("*").alias("inside"))
@@ -365,14 +367,14 @@ def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 # --- surrogates --------------------------------------------------------------------------------------------------------
 
-# Given names for surrogates, by script and gender; words are put together from syllables of the script.
+# Given names for surrogates, by script and gender, and what syllables are put together from: beginnings, vowels, ends.
 FEMALE = "Alma Bruna Carla Diana Edith Flora Greta Hilda Irene Julia Klara Lydia Mina Nadia Olga Paula Renata Silvia Tilda Vera".split()
 MALE = "Adam Boris Cesar Dario Emil Felix Georg Hugo Igor Julius Kurt Leo Marco Nico Otto Pavel Roman Simon Tobias Viktor".split()
 POOLS = {
-    "L": (FEMALE, MALE, "bra cor den fal gri hes jor kal lem mur nop pri ras sto tem vor wil yan zel dro".split()),
-    "C": ("Алла Вера Дарья Зоя Инна Клара Лидия Нина Римма Тамара".split(), "Антон Борис Вадим Глеб Денис Ефим Захар Кирилл Леонид Роман".split(), "бра вор гор дел зим кал лем мур нов пар рас сто тем фил хор".split()),
-    "G": ("Άννα Βέρα Δάφνη Ζωή Ηρώ Κλειώ Λήδα Μυρτώ Νίκη Φαίη".split(), "Άρης Βίκτωρ Δίων Ηλίας Θάνος Κίμων Λέων Μάνος Πάρις Φώτης".split(), "βρα κορ δεν φαλ γρι λεμ μουρ νοπ πρι ρασ στο τεμ ζελ".split()),
-    "H": ("花 葵 凛 結 咲 美 雪 舞 鈴 恵".split(), "蓮 翔 健 誠 徹 拓 亮 剛 学 勇".split(), "北 南 西 東 森 林 原 田 村 井 沢 浜 島 岡 坂 谷 橋 石 池 川".split()),
+    "L": (FEMALE, MALE, ("b br c d f fr g gr h j k l m n p pr r s st t tr v w z".split(), "aeiou", ["", "l", "n", "r", "s"])),
+    "C": ("Алла Вера Дарья Зоя Инна Клара Лидия Нина Римма Тамара".split(), "Антон Борис Вадим Глеб Денис Ефим Захар Кирилл Леонид Роман".split(), ("б бр в г гр д з к л м н п пр р с ст т х".split(), "аеиоу", ["", "л", "н", "р", "с"])),
+    "G": ("Άννα Βέρα Δάφνη Ζωή Ηρώ Κλειώ Λήδα Μυρτώ Νίκη Φαίη".split(), "Άρης Βίκτωρ Δίων Ηλίας Θάνος Κίμων Λέων Μάνος Πάρις Φώτης".split(), ("β βρ γ δ ζ κ λ μ ν π ρ σ στ τ φ".split(), "αειου", ["", "λ", "ν", "ρ", "σ"])),
+    "H": ("花 葵 凛 結 咲 美 雪 舞 鈴 恵".split(), "蓮 翔 健 誠 徹 拓 亮 剛 学 勇".split(), ("北 南 西 東 森 林 原 田 村 井 沢 浜 島 岡 坂 谷 橋 石 池 川".split(), "山野木本田口", [""])),
 }
 ALPHABETS = {"L": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "C": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "G": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"}
 # Titles that show a gender.
@@ -436,19 +438,21 @@ def _like(word: str, like: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.title() if like[:1].isupper() else word.lower()
 
 
+def _syllables(draw: _Draw, s: str, n: int) -> str:
+    return "".join(part[draw(len(part))] for _ in range(n) for part in POOLS[s][2])
+
+
 def _word(draw: _Draw, like: str) -> str:
-    syllables = POOLS[script(like)][2]
-    return _like("".join(syllables[draw(len(syllables))] for _ in range(2 + draw(2))), like)
+    return _like(_syllables(draw, script(like), 2 + draw(2)), like)
 
 
 def _name_word(draw: _Draw, word: str, shape: str, attempt: int) -> str:
     """A word for a word of a name: of its script; a given name of its gender, or syllables, more of them with every few attempts."""
     s = script(word)
-    female, male, syllables = POOLS[s]
     if shape == "family":
-        return "".join(syllables[draw(len(syllables))] for _ in range((1 if s == "H" else 3) + draw(2) + attempt // 2))
-    pool = female if shape == "female" else male
-    return pool[draw(len(pool))].lower() + "".join(syllables[draw(len(syllables))] for _ in range(attempt if s == "H" else attempt + 1))
+        return _syllables(draw, s, (1 if s == "H" else 3) + attempt // 2)
+    pool = POOLS[s][0 if shape == "female" else 1]
+    return pool[draw(len(pool))].lower() + _syllables(draw, s, attempt if s == "H" else attempt + 1)
 
 
 @lru_cache(64)
@@ -590,11 +594,13 @@ def entity_surrogates(values: DataFrame, key: bytes) -> DataFrame:
         drawn = cut(todo.mapInArrow(_surrogates(key), "kind string, value string, entity string, shape string, attempt int, surrogate string, got string"))
         taken = named.select("kind", F.col("entity").alias("got"))
         taken = taken if done is None else taken.unionByName(done.select("kind", "got"))
-        owners = few(cut(drawn.groupBy("kind", "got").agg(F.min("entity").alias("first"))))  # few but in the first round, so what is taken need not move
-        clash = taken.join(owners.select("kind", "got"), ["kind", "got"]).distinct()
-        free = owners.join(clash, ["kind", "got"], "left_anti")
-        bad = drawn.join(free.select("kind", "got", F.col("first").alias("entity"), F.lit(True).alias("ok")), ["kind", "got", "entity"], "left").groupBy("kind", "entity").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"))
-        judged = cut(drawn.join(bad, ["kind", "entity"]))
+        # One sum says of every drawn surrogate who has it and whether it is taken; what is not drawn need not move.
+        if drawn.count() <= FEW:
+            taken = taken.join(F.broadcast(drawn.select("kind", "got")), ["kind", "got"], "left_semi")
+        held = drawn.select("kind", "got", "entity").unionByName(taken.withColumn("entity", F.lit(None).cast("string")))
+        owners = held.groupBy("kind", "got").agg(F.min("entity").alias("first"), F.bool_or(F.col("entity").isNull()).alias("taken"))
+        ok = (F.col("entity") == F.col("first")) & ~F.col("taken")
+        judged = cut(drawn.join(owners, ["kind", "got"]).withColumn("ok", F.bool_and(ok).over(W.partitionBy("kind", "entity"))).drop("first", "taken"))
         good = judged.filter("ok").select("kind", "value", "entity", "surrogate", "got")
         done = good if done is None else done.unionByName(good)
         todo = judged.filter("NOT ok").select("kind", "value", "entity", "shape", (F.col("attempt") + 1).cast("int").alias("attempt"))
