@@ -199,16 +199,23 @@ def full_names(given: str) -> set[str]:
     return set(NICKNAMES[given].split()) if given in NICKNAMES else {given}
 
 
+#: What keys of an initial begin with.
+INITIAL = "*"
+
+
 def person_forms(given: str, family: list[str], contact: bool) -> set[str]:
-    """Keys under which a name can meet its other spellings: initial with the last family name, or given name with it; one slip in either.
+    """Keys under which a name can meet its other spellings: the given name's first two letters, or its first and last, with the last family name, or the whole of it with it; one slip in either.
 
-    Rows that share a contact need less proof: there two slips in the last family name are enough.
+    A key of an initial begins with INITIAL; under one, only initials look for names. Rows that share a contact need less proof:
+    there two slips in the last family name are enough.
     """
     last, names = family[-1], full_names(given) if given else set()
     if not names:
         return {f"={' '.join(family)}"}
-    out = {f"{n[0]}~{d}" for n in names for d in shortened(last)}
-    out |= {f"{d}+{last}" for n in names if len(n) > 1 for d in shortened(n)}
+    out = {f"{INITIAL}{n[0]}~{d}" for n in names for d in shortened(last)}
+    full = {n for n in names if len(n) > 1}
+    out |= {f"{part}~{d}" for n in full for part in (f"{n[:2]}-", f"{n[0]}-{n[-1]}") for d in shortened(last)}
+    out |= {f"{d}+{last}" for n in full for d in shortened(n)}
     return out | ({f"~~{d}" for d in shortened(last, 2)} if contact else set())
 
 
@@ -319,11 +326,14 @@ def _judged(judge, kind):
 def meetings(forms: DataFrame) -> DataFrame:
     """a, b, score: nodes that share a rewriting (`forms`: nid, key; a key stands for a form in its scope). The score adds up, over the rewritings shared, how rare each is: 1 / the number of other nodes it could mean.
 
-    Only numbers travel. A rewriting of one node alone meets nothing and is left out before the join.
+    Only numbers travel. A rewriting of one node alone meets nothing and is left out before the join. With a column `seeks`, a
+    pair needs one node that seeks: names that share no more than an initial are no pairs.
     """
     counted = forms.distinct().withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
-    a, b = counted.select("key", "n", F.col("nid").alias("a")), counted.select("key", F.col("nid").alias("b"))
-    return a.join(b, "key").filter("a < b").groupBy("a", "b").agg(F.sum(1.0 / (F.col("n") - 1)).alias("score"))
+    seeks = F.col("seeks") if "seeks" in forms.columns else F.lit(True)
+    a, b = counted.filter(seeks).select("key", "n", F.col("nid").alias("a"), seeks.alias("also")), counted.select("key", F.col("nid").alias("b"), seeks.alias("back"))
+    met = a.join(b, "key").filter("a < b OR (a > b AND NOT back)")  # a pair in which both seek comes once
+    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum(1.0 / (F.col("n") - 1)).alias("score"))
 
 
 #: A hint (initial, ambiguous nickname, name without its line) links where one candidate has so much of the score of all.
@@ -411,7 +421,7 @@ def person_classes(people: DataFrame, classes: DataFrame) -> DataFrame:
     nodes = cut(live.select(*name).distinct().withColumn("nid", F.monotonically_increasing_id()))
     bearers = placed.filter("given <> ''").groupBy("given").agg(F.count_distinct("family").cast("int").alias("bearers"))
     made = nodes.select("nid", "scope", "given", "family").mapInArrow(_forms_of(lambda scope, g, f: person_forms(g, f.split(), not scope.startswith("o:"))), "nid bigint, forms array<string>")
-    forms = made.join(nodes.select("nid", "scope"), "nid").select("nid", F.xxhash64("scope").alias("s"), F.explode("forms").alias("form")).select("nid", F.xxhash64("s", "form").alias("key"))
+    forms = made.join(nodes.select("nid", "scope", (F.length("given") == 1).alias("short")), "nid").select("nid", F.xxhash64("scope").alias("s"), F.explode("forms").alias("form"), "short").select("nid", F.xxhash64("s", "form").alias("key"), (~F.startswith("form", F.lit(INITIAL)) | F.col("short")).alias("seeks"))
     side = nodes.join(bearers, "given", "left")
     left, right = (side.select(F.col("nid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*name, "bearers")]) for s in "ab")
     met = meetings(forms).join(left, "a").join(right, "b").filter("scope_a = scope_b AND (org_a = org_b OR org_a = '' OR org_b = '')")
