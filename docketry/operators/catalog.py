@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.session import cut
+
 #: Capital and small ASCII letters, for orderings and searches that fold only those.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,8 +87,21 @@ def roster(case_people: DataFrame, people: DataFrame, case_id: str | None = None
 
 def placed_roster(case_people: DataFrame, people: DataFrame, case_id: str | None = None) -> DataFrame:
     """The roster with `place` from 1 in the order of each case: role in the case, then name, both without ASCII case, then id."""
-    order = W.partitionBy("case_id").orderBy(nocase("role_in_case").asc_nulls_first(), nocase("full_name").asc_nulls_first(), "person_id")
-    return roster(case_people, people, case_id).withColumn("place", F.row_number().over(order))
+    from docketry.operators.ordering import numbered
+
+    # One dense number over all cases, less where each case starts: a case with very many people is spread over tasks.
+    all_ = cut(numbered(roster(case_people, people, case_id), [F.col("case_id"), nocase("role_in_case"), nocase("full_name"), F.col("person_id")], "__n"))
+    starts = all_.groupBy("case_id").agg(F.min("__n").alias("__start"))
+    return all_.join(starts, "case_id").withColumn("place", F.col("__n") - F.col("__start") + 1).drop("__n", "__start")
+
+
+def prompts(conversations: DataFrame, messages: DataFrame, questions: DataFrame, system: str, n: int = 12) -> DataFrame:
+    """conversation_id, place, role, content: what a model is asked in each conversation with a question (`questions`: conversation_id, question): the system text, the last n turns that did not fail, oldest first, the question."""
+    asked = questions.join(conversations.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
+    first = asked.select("conversation_id", F.lit(0).alias("place"), F.lit("system").alias("role"), F.lit(system).alias("content"))
+    turns = history(messages, n).join(asked.select("conversation_id"), "conversation_id", "left_semi").select("conversation_id", (n + 1 - F.col("back")).cast("int").alias("place"), "role", "content")
+    last = asked.select("conversation_id", F.lit(n + 1).alias("place"), F.lit("user").alias("role"), F.col("question").alias("content"))
+    return first.unionByName(turns).unionByName(last)
 
 
 def lookup(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

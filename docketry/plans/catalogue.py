@@ -93,6 +93,7 @@ QUERIES = {
     "smallest_free_reference": lambda s, b: c.smallest_free(t(s, b, "cases")),
     "conversation_list": lambda s, b: c.conversation_list(t(s, b, "conversations"), t(s, b, "messages")),
     "recent_history": lambda s, b: c.history(t(s, b, "messages")),
+    "prompts": lambda s, b: c.prompts(t(s, b, "conversations"), t(s, b, "messages"), c.once(t(s, b, "conversations")).filter("title <> ''").select(F.col("id").alias("conversation_id"), F.col("title").alias("question")), "Answer from the documents."),
     "auto_title": lambda s, b: c.auto_title(t(s, b, "conversations"), t(s, b, "messages")),
     "message_citations": lambda s, b: c.citations(t(s, b, "messages")),
     "duplicate_files": lambda s, b: c.repeated(t(s, b, "files"), "checksum"),
@@ -151,6 +152,10 @@ SQL = {
     "conversation_list": "SELECT id, title, case_id, updated_at, (SELECT count(DISTINCT m.id) FROM messages m WHERE m.conversation_id = c.id) AS message_count FROM (SELECT DISTINCT * FROM conversations) c",
     "recent_history": """SELECT conversation_id, id, role, content, back FROM (
         SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC, id DESC) AS back FROM (SELECT DISTINCT ON (id) * FROM messages) WHERE role IN ('user', 'assistant') AND coalesce(error, '') = '') WHERE back <= 12""",
+    "prompts": """WITH q AS (SELECT DISTINCT id AS conversation_id, title FROM conversations WHERE title <> ''),
+        h AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY seq DESC, id DESC) AS back FROM (SELECT DISTINCT ON (id) * FROM messages) WHERE role IN ('user', 'assistant') AND coalesce(error, '') = '')
+        SELECT conversation_id, 0 AS place, 'system' AS role, 'Answer from the documents.' AS content FROM q UNION ALL SELECT conversation_id, 13 - back, role, content FROM h WHERE back <= 12 AND conversation_id IN (SELECT conversation_id FROM q)
+        UNION ALL SELECT conversation_id, 13, 'user', title FROM q""",
     "auto_title": """SELECT c.id, coalesce(trim(f.first[1:60]), c.title) AS title FROM (SELECT DISTINCT * FROM conversations) c
         LEFT JOIN (SELECT conversation_id, arg_min(content, (seq, id)) AS first FROM messages WHERE lower(trim(role)) = 'user' GROUP BY 1) f ON f.conversation_id = c.id
         WHERE coalesce(c.title, '') IN ('', 'New conversation', 'Untitled')""",

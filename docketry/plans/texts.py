@@ -46,6 +46,7 @@ QUERIES = {
     "format_relative": lambda s, b: once(t(s, b, "cases")).select("id", x.format_relative(F.col("updated_at"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz")).alias("shown")),
     "error_diagnosis": lambda s, b: once(t(s, b, "messages")).filter("error <> ''").select("id", x.diagnosis(F.col("error")).alias("problem")),
     "format_date": lambda s, b: once(t(s, b, "messages")).select("id", x.format_date("created_at").alias("shown")),
+    "valid_json": lambda s, b: once(t(s, b, "messages")).select("id", x.valid_json("citations").alias("valid")),
     "service_errors": lambda s, b: once(t(s, b, "messages")).select("id", x.service_error("error").alias("kind")),
     "document_passages": lambda s, b: chunking.document_chunks(chunking.chunks(t(s, b, "extracted")), once(t(s, b, "files")).filter("index_status = 'Failed'").select(F.col("id").alias("document_id"))).select("document_id", "ordinal", "chunk_id", F.md5("text").alias("text")),
     "csv_rows": lambda s, b: once(t(s, b, "people")).select("id", F.concat_ws(",", *[x.csv_field(F.col(c)) for c in ("full_name", "role", "organization", "email", "notes")]).alias("line")),
@@ -114,3 +115,4 @@ SQL["chunk_counts"] = f"SELECT document_id, count(*) AS n_chunks, CAST(sum(token
 SQL["document_passages"] = f"SELECT document_id, ordinal, chunk_id, md5(text) AS text FROM ({CHUNKS_SQL}) WHERE document_id IN (SELECT id FROM files WHERE index_status = 'Failed')"
 SQL["service_errors"] = r"""SELECT DISTINCT ON (id) id, CASE WHEN trim(coalesce(error, '')) = '' THEN NULL WHEN regexp_matches(lower(error), 'connection refused|could not connect|dns|unreachable') THEN 'unreachable' WHEN regexp_matches(lower(error), 'timed out|timeout|deadline') THEN 'timeout'
     WHEN regexp_matches(lower(error), '\b401\b|unauthorized|invalid api key') THEN 'unauthorized' WHEN regexp_matches(lower(error), '\b404\b|model .*not found|no such model') THEN 'missing model' WHEN regexp_matches(lower(error), '\b429\b|rate limit|too many requests') THEN 'rate limit' ELSE 'other' END AS kind FROM messages"""
+SQL["valid_json"] = "SELECT DISTINCT ON (id) id, citations IS NOT NULL AND json_valid(citations) AS valid FROM messages"

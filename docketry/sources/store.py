@@ -59,13 +59,17 @@ def write_snapshot(df: DataFrame, root: str, after: int | None = None) -> str:
     version = (after if after is not None else max((v for v, _ in _pointers(spark, root)), default=0)) + 1
     folder = f"{root}/snapshot-{uuid.uuid4().hex}"
     df.withColumn("checksum", checksum()).repartition("document_id", "chunk_id").write.parquet(folder)
+    _point(fs, path, root, version, folder)
+    return folder
+
+
+def _point(fs, path, root: str, version: int, folder: str) -> None:
     pointer = path(f"{root}/CURRENT-{version:012d}")
     if fs.exists(pointer):
         raise FileExistsError(f"version {version} of {root} was written by another")
     out = fs.create(pointer, False)
     out.write(bytearray(f"{folder}\n".encode()))
     out.close()
-    return folder
 
 
 def tidy(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
@@ -132,3 +136,20 @@ def migrate(chunks: DataFrame, blobs: DataFrame, files: DataFrame) -> DataFrame:
     """Passages of Ready documents with their vectors, from the two tables of an older store; each passage once, however often it was migrated before."""
     ready = files.filter("index_status = 'Ready'").select(F.col("id").alias("document_id")).distinct()
     return chunks.dropDuplicates(["chunk_id"]).join(ready, "document_id", "left_semi").join(from_blobs(blobs).filter("embedding IS NOT NULL").dropDuplicates(["chunk_id"]), "chunk_id")
+
+
+def commit_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame], after: int | None = None) -> str:
+    """Write several tables (passages, keywords, the catalogue with its Ready flags) as one new snapshot: a reader sees all of them new or all of them old."""
+    fs, path = _fs(spark, root)
+    version = (after if after is not None else max((v for v, _ in _pointers(spark, root)), default=0)) + 1
+    folder = f"{root}/snapshot-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}")
+    _point(fs, path, root, version, folder)
+    return folder
+
+
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """One table of the current snapshot of several; None for a new store."""
+    folder = current(spark, root)
+    return None if folder is None else spark.read.parquet(f"{folder}/{name}")

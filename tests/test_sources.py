@@ -137,3 +137,11 @@ def test_a_session_without_a_shared_folder_keeps_one_of_its_own(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parent.parent)}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert out.stdout.strip().endswith("3"), out.stderr[-2000:]
+
+
+def test_several_tables_change_at_once(spark, tmp_path):
+    root = f"file://{tmp_path}/tables"
+    assert store.read_table(spark, root, "files") is None
+    for n in (1, 2):
+        store.commit_tables(spark, root, {"files": spark.range(n).toDF("id"), "passages": spark.range(n * 10).toDF("id")})
+        assert (store.read_table(spark, root, "files").count(), store.read_table(spark, root, "passages").count()) == (n, n * 10)
