@@ -18,13 +18,12 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame
     """
     real = edges.select("a", "b").filter("a <> b")
     both = cut(real.unionByName(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component"))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         low = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("low")))
         if low.filter("low <> old").isEmpty():
-            found = nodes.select("node").distinct().join(labels, "node", "left")
-            return found.select("node", F.coalesce("component", "node").alias("component"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        labels = cut(low.join(jump, "low").select("node", F.least("low", "lower").alias("component")))
+            found = nodes.select("node").distinct().join(low, "node", "left")
+            return found.select("node", F.coalesce("low", "node").alias("component"))
+        labels = low.join(low.select(F.col("node").alias("low"), F.col("low").alias("component")), "low").select("node", F.least("low", "component").alias("component"))
     raise RuntimeError(f"no fixed point after {rounds} rounds")

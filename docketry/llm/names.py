@@ -301,13 +301,13 @@ def _organizations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def _forms_of(make):
-    """The rewritings of each node as a list, in Arrow batches: nid first, then what `make` takes."""
+def _forms_of(make, keep: int):
+    """The rewritings of each node as a list, in Arrow batches: behind the first `keep` columns, from what `make` takes of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns[1:]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(make(*r)) for r in rows], pa.list_(pa.string()))], names=["nid", "forms"])
+            rows = zip(*(c.to_pylist() for c in batch.columns[keep:]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array([list(make(*r)) for r in rows], pa.list_(pa.string()))], names=[*batch.schema.names[:keep], "forms"])
 
     return run
 
@@ -324,12 +324,12 @@ def _judged(judge, kind):
 
 
 def meetings(forms: DataFrame) -> DataFrame:
-    """a, b, score: nodes that share a rewriting (`forms`: nid, key; a key stands for a form in its scope). The score adds up, over the rewritings shared, how rare each is: 1 / the number of other nodes it could mean.
+    """a, b, score: nodes that share a rewriting (`forms`: nid, key, each once; a key stands for a form in its scope). The score adds up, over the rewritings shared, how rare each is: 1 / the number of other nodes it could mean.
 
     Only numbers travel. A rewriting of one node alone meets nothing and is left out before the join. With a column `seeks`, a
     pair needs one node that seeks: names that share no more than an initial are no pairs.
     """
-    counted = forms.distinct().withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
+    counted = forms.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1")
     seeks = F.col("seeks") if "seeks" in forms.columns else F.lit(True)
     a, b = counted.filter(seeks).select("key", "n", F.col("nid").alias("a"), seeks.alias("also")), counted.select("key", F.col("nid").alias("b"), seeks.alias("back"))
     met = a.join(b, "key").filter("a < b OR (a > b AND NOT back)")  # a pair in which both seek comes once
@@ -358,8 +358,8 @@ def organization_classes(people: DataFrame) -> DataFrame:
     strings = people.select("organization").filter(F.trim("organization") != "").distinct()
     parsed = cut(strings.mapInArrow(_organizations, "organization string, proper string, line string, legal string"))
     nodes = cut(parsed.select("proper", "line").distinct().withColumn("nid", F.monotonically_increasing_id()))
-    made = nodes.select("nid", "proper").mapInArrow(_forms_of(lambda proper: organization_forms(tuple(proper.split()))), "nid bigint, forms array<string>")
-    forms = cut(made.select("nid", F.explode("forms").alias("form")).join(nodes.select("nid", "line"), "nid").select("nid", F.xxhash64("form").alias("key"), F.xxhash64("line", "form").alias("line_key"), (F.col("line") == "").alias("bare")))
+    made = nodes.select("nid", "line", "proper").mapInArrow(_forms_of(lambda proper: organization_forms(tuple(proper.split())), 2), "nid bigint, line string, forms array<string>")
+    forms = cut(made.select("nid", "line", F.explode("forms").alias("form")).select("nid", F.xxhash64("form").alias("key"), F.xxhash64("line", "form").alias("line_key"), (F.col("line") == "").alias("bare")))
     left, right = (nodes.select(F.col("nid").alias(s), F.col("proper").alias(f"p{s}"), F.col("line").alias(f"l{s}")) for s in "ab")
     check = lambda met: met.join(left, "a").join(right, "b").select("a", "b", "score", F.split("pa", " ").alias("pa"), F.split("pb", " ").alias("pb"), "la", "lb")
     within = check(meetings(forms.select("nid", F.col("line_key").alias("key")))).filter("la = lb")
@@ -420,8 +420,11 @@ def person_classes(people: DataFrame, classes: DataFrame) -> DataFrame:
     name = ["scope", "org", "given", "family"]
     nodes = cut(live.select(*name).distinct().withColumn("nid", F.monotonically_increasing_id()))
     bearers = placed.filter("given <> ''").groupBy("given").agg(F.count_distinct("family").cast("int").alias("bearers"))
-    made = nodes.select("nid", "scope", "given", "family").mapInArrow(_forms_of(lambda scope, g, f: person_forms(g, f.split(), not scope.startswith("o:"))), "nid bigint, forms array<string>")
-    forms = made.join(nodes.select("nid", "scope", (F.length("given") == 1).alias("short")), "nid").select("nid", F.xxhash64("scope").alias("s"), F.explode("forms").alias("form"), "short").select("nid", F.xxhash64("s", "form").alias("key"), (~F.startswith("form", F.lit(INITIAL)) | F.col("short")).alias("seeks"))
+    wide = ~F.startswith("scope", F.lit("o:"))
+    made = nodes.select("nid", F.xxhash64("scope").alias("s"), (F.length("given") == 1).alias("short"), "given", "family", wide.alias("wide")).mapInArrow(
+        _forms_of(lambda g, f, contact: person_forms(g, f.split(), contact), 3), "nid bigint, s bigint, short boolean, forms array<string>"
+    )
+    forms = made.select("nid", "s", "short", F.explode("forms").alias("form")).select("nid", F.xxhash64("s", "form").alias("key"), (~F.startswith("form", F.lit(INITIAL)) | F.col("short")).alias("seeks"))
     side = nodes.join(bearers, "given", "left")
     left, right = (side.select(F.col("nid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (*name, "bearers")]) for s in "ab")
     met = meetings(forms).join(left, "a").join(right, "b").filter("scope_a = scope_b AND (org_a = org_b OR org_a = '' OR org_b = '')")
