@@ -27,7 +27,9 @@ FOLDED = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzzαεηιουωι
 
 def folded(text: str | Column) -> Column:
     """Lower case, accents folded, combining marks dropped."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), ACCENTED, FOLDED)
+    c = F.col(text) if isinstance(text, str) else text
+    ascii_ = F.octet_length(c) == F.length(c)  # nothing to fold
+    return F.when(ascii_, F.lower(c)).otherwise(F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}+", ""), ACCENTED, FOLDED))
 
 
 def terms(question: str | Column) -> Column:
