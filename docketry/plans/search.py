@@ -23,7 +23,7 @@ def _questions(s, b):
 
 
 def _keyword(s, b, k):
-    return keyword.best(keyword.bm25(_passages(s, b), _questions(s, b)), k)
+    return keyword.search(_passages(s, b), _questions(s, b), k)
 
 
 def _vector_questions(s, b):

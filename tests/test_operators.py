@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docketry import plans
 from docketry.functions import formula as m
 from docketry.functions import text as x
 from docketry.operators import catalog, chunking, consistency, embedding, graph, hybrid, keyword, ordering, sheet, tree, vectors
@@ -129,6 +130,43 @@ def test_filters_do_not_change_statistics(spark):
     assert part == {2: full[2]}
 
 
+def test_search_has_the_best_of_bm25(spark, monkeypatch):
+    monkeypatch.setattr(keyword, "SHARD", 40)
+    rng = np.random.default_rng(3)
+    words = ["lease", "leases", "lea", "réu", "reu", "court", "courts", "12", "123", "x\u0301y", "ημέρα", "the"]
+    texts = [(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(300)] + [(i, "lease court") for i in range(300, 330)] + [(330, ""), (331, None)]
+    passages = spark.createDataFrame(texts, "chunk_id long, text string")
+    asked = spark.createDataFrame([(1, "lease court"), (2, "court, lease!"), (3, "réu reu 12"), (4, "the of"), (5, "nowhere"), (6, "ΗΜΈΡΑ 1"), (7, None)], "query_id long, text string")
+    some = spark.createDataFrame([(i,) for i in range(0, 400, 3)] + [(None,)], "chunk_id long")
+    for allowed in (None, some):
+        want = keyword.best(keyword.bm25(passages, asked, allowed), 7)
+        got = keyword.search(passages, asked, 7, allowed)
+        key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 8)) for r in df.collect())
+        assert key(got) == key(want) and got.count() > 20
+
+
+def test_search_without_words_finds_nothing(spark):
+    none = spark.createDataFrame([(1, ""), (2, "the")], "query_id long, text string")
+    passages = spark.createDataFrame([("a", "lease"), ("b", None)], "chunk_id string, text string")
+    assert keyword.search(passages, none, 3).count() == 0
+    assert keyword.search(passages.limit(0), none.withColumn("text", F.lit("lease")), 3).count() == 0
+
+
+def test_of_passages_alike_only_k_leave_a_shard():
+    held = type("Held", (), {"value": np.asarray([1.5])})
+    n = 1000
+    left = pa.table({"chunk_id": pa.array(range(n)), "size": pa.array([3] * n, pa.int32()), "numbers": pa.array([[0]] * n, pa.list_(pa.int32())), "tfs": pa.array([[1]] * n, pa.list_(pa.int32()))})
+    right = pa.table({"ask": pa.array([5, 6]), "numbers": pa.array([[0], [0, 0]], pa.list_(pa.int32()))})
+    got = keyword._weigh(10, held, 3.0, False)(left, right).to_pydict()
+    assert got["ask"] == [5] * 10 + [6] * 10 and got["chunk_id"] == [*range(10)] * 2
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_query_lists_no_pairs_of_question_and_passage(spark, data, monkeypatch, name):
+    monkeypatch.setattr(keyword, "bm25", lambda *_: pytest.fail("every pair is listed"))
+    assert plans.queries()[name](spark, data).count() > 0
+
+
 def test_snippet_and_highlight(spark):
     text = "x" * 200 + " lease " + "y" * 300
     got = one(spark, keyword.snippet_around(F.lit(text), ["lease"]))
