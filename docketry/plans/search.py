@@ -104,7 +104,7 @@ def _ready(s, b):
     files = once(t(s, b, "files"))
     passages = t(s, b, "extracted").filter("text IS NOT NULL").dropDuplicates(["document_id"]).select(F.col("document_id").alias("chunk_id"), "document_id", "text")
     asked = files.select(F.col("id").alias("query_id"), F.col("file_name").alias("text"))
-    return keyword.best(keyword.bm25(passages, asked, keyword.ready(passages, files)), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return keyword.search(passages, asked, 10, keyword.ready(passages, files)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _view(s, b):
