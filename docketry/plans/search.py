@@ -120,7 +120,7 @@ QUERIES = {
     "query_terms": lambda s, b: once(t(s, b, "messages")).filter("content IS NOT NULL").select("id", F.array_join(keyword.terms("content"), " ").alias("terms")),
     "bm25_search": lambda s, b: _keyword(s, b, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
     "keyword_view": lambda s, b: keyword.scaled(_keyword(s, b, 10)).select("query_id", "chunk_id", F.round("score", 6).alias("score")),
-    "bm25_filtered": lambda s, b: keyword.best(keyword.bm25(_passages(s, b), _questions(s, b), t(s, b, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
+    "bm25_filtered": lambda s, b: keyword.search(_passages(s, b), _questions(s, b), 10, t(s, b, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("chunk_id"))).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank"),
     "ready_search": _ready,
     "search_view": _view,
     "knn_scoped": _scoped,
