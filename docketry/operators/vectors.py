@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from docketry.session import cut
 
-#: Questions of a block and vectors of a shard, on average.
-BLOCK, SHARD = 2048, 20_000
+#: Questions of a block and vectors of a shard, on average; questions scored at a time.
+BLOCK, SHARD, AT_ONCE = 16_384, 20_000, 128
 #: When an index is due: live vectors to build one, newer ones to take in, share of dead ones to build it anew.
 BUILD_AT, EXTEND_AT, DEAD_SHARE = 20_000, 4_000, 0.25
 
@@ -82,14 +82,20 @@ def _codes(values: list) -> tuple[np.ndarray, dict]:
     return np.asarray([-1 if v is None else seen.setdefault(v, len(seen)) for v in values], int), seen
 
 
-def _fits(left: pa.Table, right: pa.Table, rows: np.ndarray, asked: np.ndarray) -> np.ndarray | None:
-    """Which vectors each question may find: NULL wants all, a list with nothing in it, too; a NULL label or case of a vector fits no wanted one."""
-    keep = None
+def _limits(left: pa.Table, right: pa.Table) -> list[tuple[np.ndarray, dict, list, bool]]:
+    """What narrows the questions of a table: the codes of the vectors, their numbers by value, what each question wants, whether that is a list."""
+    out = []
     for have, want, several in (("label", "want_label", False), ("document_id", "want_documents", True), ("case_id", "want_case", False)):
         wanted = right.column(want).to_pylist()
-        if not any(wanted[q] is not None and wanted[q] != [] for q in asked):
-            continue
-        codes, seen = _codes(left.column(have).to_pylist())
+        if any(x is not None and x != [] for x in wanted):
+            out.append((*_codes(left.column(have).to_pylist()), wanted, several))
+    return out
+
+
+def _fits(limits: list[tuple[np.ndarray, dict, list, bool]], rows: np.ndarray, asked: np.ndarray) -> np.ndarray | None:
+    """Which vectors each question may find: NULL wants all, a list with nothing in it, too; a NULL label or case of a vector fits no wanted one."""
+    keep = None
+    for codes, seen, wanted, several in limits:
         codes = codes[rows]
         one = np.ones((len(rows), len(asked)), bool)
         for j, q in enumerate(asked):
@@ -106,18 +112,21 @@ def _meet(k: int):
         found_q, found_v, found_s = [], [], []
         if left.num_rows and right.num_rows:
             store, asked = _unit_rows(left.column("embedding")), _unit_rows(right.column("embedding"))
+            limits = _limits(left, right)
             for w in store.keys() & asked.keys():
-                (rows, m), (qs, q) = store[w], asked[w]
-                scores = np.round(m @ q.T, 9)
-                may = _fits(left, right, rows, qs)
-                if may is not None:
-                    scores = np.where(may, scores, 0.0)
+                rows, m = store[w]
                 n = len(rows)
-                least = np.partition(scores, n - k, axis=0)[n - k] if n > k else np.zeros(len(qs))
-                at, j = np.nonzero((scores > 0) & (scores >= least))
-                found_v.append(rows[at])
-                found_q.append(qs[j])
-                found_s.append(scores[at, j])
+                for qs, q in ((asked[w][0][a : a + AT_ONCE], asked[w][1][a : a + AT_ONCE]) for a in range(0, len(asked[w][0]), AT_ONCE)):
+                    scores = q @ m.T
+                    np.round(scores, 9, out=scores)
+                    may = _fits(limits, rows, qs)
+                    if may is not None:
+                        scores = np.where(may.T, scores, 0.0)
+                    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(qs))
+                    j, at = np.nonzero((scores > 0) & (scores >= least[:, None]))
+                    found_v.append(rows[at])
+                    found_q.append(qs[j])
+                    found_s.append(scores[j, at])
         join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
         v, q, s = join(found_v, int), join(found_q, int), join(found_s, float)
         return pa.table({"query_id": right.column("query_id").take(pa.array(q)), "vec_id": left.column("vec_id").take(pa.array(v)), "score": pa.array(s)})

@@ -161,12 +161,32 @@ def test_of_passages_alike_only_k_leave_a_shard():
     assert got["ask"] == [5] * 10 + [6] * 10 and got["chunk_id"] == [*range(10)] * 2
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view"])
+@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view", "hybrid_rrf"])
 def test_query_lists_no_pairs_of_question_and_passage(spark, data, monkeypatch, name):
     monkeypatch.setattr(keyword, "bm25", lambda *_: pytest.fail("every pair is listed"))
     assert plans.queries()[name](spark, data).count() > 0
 
 
+def test_questions_of_one_block_do_not_copy_the_vectors(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(vectors, "_best", lambda store, asked, keys, k: held.append(store.count()))
+    some = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    vectors.knn(some, some.withColumnRenamed("vec_id", "query_id"), 3)
+    assert held == [5000]
+
+
+def test_slices_of_questions_find_what_all_at_once_find(spark, monkeypatch):
+    def table(n, key, seed, **more):
+        return pa.table({key: pa.array(range(n)), "embedding": pa.array(lcg(n, 4, seed).tolist(), pa.list_(pa.float64()))} | more)
+
+    left = table(60, "vec_id", 1, label=pa.array([str(i % 3) for i in range(60)]), document_id=pa.nulls(60, pa.string()), case_id=pa.nulls(60, pa.string()))
+    right = table(11, "query_id", 2, want_label=pa.array([None if i % 4 == 0 else str(i % 3) for i in range(11)]), want_documents=pa.nulls(11, pa.list_(pa.string())), want_case=pa.nulls(11, pa.string()))
+    rows = lambda t: sorted(zip(*t.to_pydict().values(), strict=True))
+    whole = rows(vectors._meet(5)(left, right))
+    monkeypatch.setattr(vectors, "AT_ONCE", 2)
+    assert rows(vectors._meet(5)(left, right)) == whole and len({q for q, _, _ in whole}) == 11
+
+
 def test_snippet_and_highlight(spark):
     text = "x" * 200 + " lease " + "y" * 300
     got = one(spark, keyword.snippet_around(F.lit(text), ["lease"]))
