@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketry.functions.text import embed_input, snippet, task_prefix
+from docketry.session import cut, few
 
 RRF_K = 60
 
@@ -32,7 +33,11 @@ def rrf(lists: list[DataFrame], limit: int = 8) -> DataFrame:
 
 
 def hydrate(hits: DataFrame, passages: DataFrame, documents: DataFrame, cases: DataFrame) -> DataFrame:
-    """Hits with text, page, document and case. Hits whose passage or document is gone are dropped after ranking, so fewer rows may come out."""
+    """Hits with text, page, document and case. Hits whose passage or document is gone are dropped after ranking, so fewer rows may come out.
+
+    The hits are written first: few of them go to where the texts are, which then stay in place.
+    """
+    hits = few(cut(hits))
     named = documents.select("document_id", "document_name", "case_id")
     where = cases.select(F.col("id").alias("case_id"), F.col("reference").alias("case_reference")).dropDuplicates(["case_id"])
     return hits.join(passages, "chunk_id").join(named, "document_id").join(where, "case_id", "left")

@@ -161,7 +161,7 @@ def test_of_passages_alike_only_k_leave_a_shard():
     assert got["ask"] == [5] * 10 + [6] * 10 and got["chunk_id"] == [*range(10)] * 2
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view", "hybrid_rrf"])
+@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view", "hybrid_rrf", "citations"])
 def test_query_lists_no_pairs_of_question_and_passage(spark, data, monkeypatch, name):
     monkeypatch.setattr(keyword, "bm25", lambda *_: pytest.fail("every pair is listed"))
     assert plans.queries()[name](spark, data).count() > 0
@@ -187,6 +187,21 @@ def test_slices_of_questions_find_what_all_at_once_find(spark, monkeypatch):
     assert rows(vectors._meet(5)(left, right)) == whole and len({q for q, _, _ in whole}) == 11
 
 
+def test_texts_stay_where_they_are_when_hits_are_few(spark):
+    hits = spark.createDataFrame([(1, 7, 1.0, 1)], "query_id long, chunk_id long, score double, rank int")
+    passages = spark.range(20).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.lit("text").alias("text"), F.lit(None).cast("int").alias("page"))
+    documents = spark.range(20).select(F.col("id").alias("document_id"), F.lit("d").alias("document_name"), F.lit("c").alias("case_id"))
+    cases = spark.createDataFrame([("c", "C-1")], "id string, reference string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = hybrid.hydrate(hits, passages, documents, cases)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.chunk_id, r.text, r.case_reference) for r in got.collect()] == [(7, "text", "C-1")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_snippet_and_highlight(spark):
     text = "x" * 200 + " lease " + "y" * 300
     got = one(spark, keyword.snippet_around(F.lit(text), ["lease"]))
