@@ -161,7 +161,7 @@ def test_of_passages_alike_only_k_leave_a_shard():
     assert got["ask"] == [5] * 10 + [6] * 10 and got["chunk_id"] == [*range(10)] * 2
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view", "hybrid_rrf", "citations", "context_blocks", "hit_documents"])
+@pytest.mark.parametrize("name", ["bm25_search", "ready_search", "bm25_filtered", "search_view", "hybrid_rrf", "citations", "context_blocks", "hit_documents", "keyword_view"])
 def test_query_lists_no_pairs_of_question_and_passage(spark, data, monkeypatch, name):
     monkeypatch.setattr(keyword, "bm25", lambda *_: pytest.fail("every pair is listed"))
     assert plans.queries()[name](spark, data).count() > 0
