@@ -18,7 +18,9 @@ import re
 from collections.abc import Collection, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,12 +38,17 @@ EMAIL = re.compile(
 )
 FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|apto\.?|apt\.?|App\.?|Wohnung|piso|\d+\.\s?[ºª°]\s?(?:[A-Z]\w*\.?)?|\d+[ºª°]\s?(?:[A-Z]\w*\.?)?)\s?\d*\w?"
 TAIL = rf"(?:,\s{FLAT})?(?:,?\s(?:[A-Z]{{1,2}}-)?\d{{4,5}}(?:-\d{{3}})?(?:\s{WORD})?|,\s{WORD}(?:\s(?:\d{{4,6}}(?:-\d{{3}})?|[A-Z]{{1,2}}\d[\dA-Z]?\s\d[A-Z]{{2}}))?)?"
+# Words of streets, by where they stand: behind the number and a name, between both, at the end of a name, in front of it.
+STREETS_AFTER = "Street|St|Road|Rd|Lane|Ln|Sq|Square|Avenue|Ave|Drive|Dr|Close|Way|Court|Ct|Terrace|Place|Pl|Gardens|Crescent|Boulevard|Blvd"
+STREETS_BETWEEN = r"rue|avenue|av\.|boulevard|bd|place|chemin|impasse|quai|allée|cours|route"
+STREET_ENDS = r"straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer"
+STREETS_FIRST = r"Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Paseo|Rua|R\.|Travessa|Tv\.|Largo|Praça|Alameda|Estrada|Rod\."
 ADDRESS = re.compile(
     r"(?<![\w-])(?:"
-    rf"(?:{FLAT},\s)?\d+[A-Za-z]?\s(?:{WORD}\s){{1,2}}(?:Street|St|Road|Rd|Lane|Ln|Sq|Square|Avenue|Ave|Drive|Dr|Close|Way|Court|Ct|Terrace|Place|Pl|Gardens|Crescent|Boulevard|Blvd)\b\.?{TAIL}"
-    rf"|\d+(?:\s?(?:bis|ter))?,?\s(?:rue|avenue|av\.|boulevard|bd|place|chemin|impasse|quai|allée|cours|route)\s(?:de\sla\s|du\s|des\s|de\s|d[’'])?{WORD}{TAIL}"
-    rf"|{WORD}(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|ufer)\s\d+\s?[a-z]?\b{TAIL}"
-    rf"|(?:Calle|C/|Avda\.?|Avenida|Av\.|Plaza|Paseo|Rua|R\.|Travessa|Tv\.|Largo|Praça|Alameda|Estrada|Rod\.)\s?(?:do\s|da\s|dos\s|das\s|de\sla\s|del\s|de\s)?{WORD}(?:\s{WORD})?,?\s(?:n\.?\s?[ºo°]\s?)?\d+[A-Za-z]?\b{TAIL}"
+    rf"(?:{FLAT},\s)?\d+[A-Za-z]?\s(?:{WORD}\s){{1,2}}(?:{STREETS_AFTER})\b\.?{TAIL}"
+    rf"|\d+(?:\s?(?:bis|ter))?,?\s(?:{STREETS_BETWEEN})\s(?:de\sla\s|du\s|des\s|de\s|d[’'])?{WORD}{TAIL}"
+    rf"|{WORD}(?:{STREET_ENDS})\s\d+\s?[a-z]?\b{TAIL}"
+    rf"|(?:{STREETS_FIRST})\s?(?:do\s|da\s|dos\s|das\s|de\sla\s|del\s|de\s)?{WORD}(?:\s{WORD})?,?\s(?:n\.?\s?[ºo°]\s?)?\d+[A-Za-z]?\b{TAIL}"
     r")"
 )
 PHONE = re.compile(
@@ -58,7 +65,6 @@ ID_NUMBER = re.compile(
     rf"(?<![\w.-])(?=[SsNnTtPpRrDdFfCcIiAaUuEeOoJ]){ID_WORDS}[\s:.#]{{1,3}}(?:n[°º.]{{1,2}}\s)?({ID_CODE})"
     r"|(?<![\w.-])(\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2}\.\d{3}\.\d{3}-[\dXx]|QQ \d{2} \d{2} \d{2} [A-D]|(?<!\d)\d{8}[A-HJ-NP-TV-Z](?!\w)|[XYZ]\d{7}[A-Z])(?![\w-])"
 )
-HINT = re.compile(r"\d")
 # Titles in front of a name.
 TITLES = {"Mr", "Mrs", "Ms", "Miss", "Dr", "Dra", "Prof", "Profa", "Sr", "Sra", "Srta", "Eng", "Enga", "Herr", "Frau", "Mme", "Mlle", "Monsieur", "Madame", "Don", "Doña", "Dona", "Me", "Sir"}
 # Capitalised words that begin a sentence or a label, and words of organisations, which are no family names.
@@ -128,6 +134,42 @@ COMMON = set(
     "avec sans mais ou que aussi déjà encore hier demain est était sont habite demeure dit appelle paie envoie veut doit peut va vient sous chez dans sur".split()
 )
 SMALL_TITLE = re.compile(rf"\b(?:{'|'.join(sorted(SMALL_TITLES))})\.? [{LOW}]")
+
+
+def _loose(pattern: str) -> str:
+    """A pattern for RE2 that matches at least where `pattern` does in Python: its letters, digits and blanks are all those that Python may take for such."""
+    bodies = {"w": r"0-9A-Za-z_\x{80}-\x{10FFFF}", "d": r"0-9\x{300}-\x{1FFF}\x{2100}-\x{10FFFF}", "s": r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"}
+    for sign, body in bodies.items():
+        pattern = pattern.replace(f"[\\{sign}", f"[{body}").replace(f"\\{sign}", f"[{body}]")
+    return pattern
+
+
+# What a text must hold for the patterns above to match, asked of a whole batch at once: the same without what looks around and without the ends.
+MAY = {
+    "email": r"@|＠|\(at\)|\[at\]|\{at\}| dot |\[dot\]",
+    "address": _loose(
+        rf"\d[A-Za-z]?\s(?:{WORD}\s){{1,2}}(?:{STREETS_AFTER})|\d(?:\s?(?:bis|ter))?,?\s(?:{STREETS_BETWEEN})\s|(?:{STREET_ENDS})\s\d"
+        rf"|(?:{STREETS_FIRST})\s?(?:do\s|da\s|dos\s|das\s|de\sla\s|del\s|de\s)?{WORD}(?:\s{WORD})?,?\s(?:n\.?\s?[ºo°]\s?)?\d"
+    ),
+    "id_number": _loose(
+        rf"{ID_WORDS}[\s:.#]{{1,3}}(?:n[°º.]{{1,2}}\s)?(?:[A-Z]{{1,2}}[ -]?)?\d|\d{{3}}\.\d{{3}}\.\d{{3}}-\d{{2}}|\d{{2}}\.\d{{3}}\.\d{{3}}-[\dXx]|QQ \d{{2}} \d{{2}}|\d{{8}}[A-HJ-NP-TV-Z]|[XYZ]\d{{7}}[A-Z]"
+    ),
+    "phone": _loose(r"\+\d|00\d{2}[-. ]\d{2}|\(\d{2,4}\)\s?\d{3,5}[-. ]\d{4}|0\d{4} \d{3}|0\d{2,3} \d{4} \d{4}|\d{3}\.\d{3}\.\d{4}|\d{3}-\d{3}-\d{4}|0\d(?:[. ]\d{2}){4}"),
+    "run": _loose(rf"(?:[{BIG}][\w’'-]* |(?:{'|'.join(sorted(TITLES))}|[{BIG}])\. ?)(?:(?:{PARTICLES}) )?[{BIG}]"),
+    "han": "[一-鿿々]{2}",
+    "small": rf"(?:{'|'.join(sorted(SMALL_TITLES))})\.? [{LOW}]",
+}
+
+
+def _may(texts_: pa.Array) -> np.ndarray:
+    """Which of MAY each text holds, as the bits of a number. NULL holds none."""
+    out = np.zeros(len(texts_), np.int64)
+    for bit, pattern in enumerate(MAY.values()):
+        out |= pc.match_substring_regex(texts_, pattern).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64) << bit
+    return out
+
+
+_BITS = {k: 1 << bit for bit, k in enumerate(MAY)}
 SEEDS = frozenset(GIVEN | set(NICKNAMES))
 SMALL_SEEDS = SEEDS - WORDS_TOO
 
@@ -238,11 +280,11 @@ def mentions(text: str | None, ordinary: Collection[str] | None = (), known: Col
     `ordinary`: words of the text that the corpus shows to be ordinary words; None: no name is opened in small letters.
     `known`: the given names of the text that may stand in small letters (small, without accents); by default the fixed ones.
     """
-    return _scan(text, ordinary, known)[0] if text else []
+    return _scan(text, ordinary, known, int(_may(pa.array([text]))[0]))[0] if text else []
 
 
-def _scan(text: str, ordinary: Collection[str] | None, known: Collection[str] | None) -> tuple[list[tuple[str, int, int]], list[str], bool]:
-    """The mentions of a text, the words of its names that only the corpus can tell from ordinary words, and whether more given names could change the outcome."""
+def _scan(text: str, ordinary: Collection[str] | None, known: Collection[str] | None, may: int) -> tuple[list[tuple[str, int, int]], list[str], bool]:
+    """The mentions of a text, the words of its names that only the corpus can tell from ordinary words, and whether more given names could change the outcome. `may`: what `_may` says of it."""
     pending: list[str] = []
     spans: list[tuple[str, int, int]] = []
 
@@ -250,16 +292,18 @@ def _scan(text: str, ordinary: Collection[str] | None, known: Collection[str] |
         if not any(a < y and x < b for _, x, y in spans):
             spans.append((kind, a, b))
 
-    if "@" in text or "＠" in text or "(at)" in text or "[at]" in text or "{at}" in text or " dot " in text or "[dot]" in text:
+    if may & _BITS["email"]:
         for m in EMAIL.finditer(text):
             a = m.start() + (7 if m[0].lower().startswith("mailto:") else 0)
             add("email", a, m.end() - (m[0][-1] in "_-"))
-    if HINT.search(text):
+    if may & _BITS["address"]:
         for m in ADDRESS.finditer(text):
             add("address", m.start(), m.end())
+    if may & _BITS["id_number"]:
         for m in ID_NUMBER.finditer(text):
             g = 1 if m[1] else 2
             add("id_number", m.start(g), m.end(g))
+    if may & _BITS["phone"]:
         for m in PHONE.finditer(text):
             add("phone", m.start(), m.end())
     rest, at = [], 0
@@ -267,14 +311,14 @@ def _scan(text: str, ordinary: Collection[str] | None, known: Collection[str] |
         rest += [text[at:a], "\0" * (b - a)]
         at = b
     text = "".join([*rest, text[at:]])
-    names, unsure = _capital_names(text, ordinary or (), known or ())
+    names, unsure = _capital_names(text, ordinary or (), known or ()) if may & _BITS["run"] else ((), False)
     for a, b, words in names:
         add("name", a, b)
         pending += words
-    if not text.isascii():
+    if may & _BITS["han"]:
         for m in HAN_NAME.finditer(text):
             add("name", m.start(), m.end())
-    for a, b, words in _small_names(text, ordinary, SMALL_SEEDS if known is None else known) if ordinary is not None else ():
+    for a, b, words in _small_names(text, ordinary, SMALL_SEEDS if known is None else known) if ordinary is not None and (known is None or known or may & _BITS["small"]) else ():
         add("name", a, b)
         pending += words
     return sorted(spans, key=lambda s: s[1]), pending, unsure
@@ -289,9 +333,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         first = batch.num_columns == 3
-        for s, i, t, *evidence in zip(*(c.to_pylist() for c in batch.columns)):
+        may = _may(batch.column(2))
+        if first:  # the rest has no mentions
+            batch, may = batch.filter(pa.array(may > 0)), may[may > 0]
+        for m, s, i, t, *evidence in zip(may.tolist(), *(c.to_pylist() for c in batch.columns)):
             ordinary, known = evidence or ((), ())
-            spans, pending, unsure = _scan(t, ordinary or (), known or ())
+            spans, pending, unsure = _scan(t, ordinary or (), known or (), m)
             seen = dict.fromkeys(KINDS, 0)
             for kind, a, b in spans:
                 seen[kind] += 1
@@ -328,7 +375,7 @@ _SMALL_WORD = r"(?<![\p{L}\p{N}_@./’'-])\p{Ll}[\p{L}\p{N}_]*(?:[’'-]\p{Ll}[\
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """src, record_id, word: the words of possible names that only the corpus can tell from ordinary words."""
     for batch in batches:
-        rows = [(s, i, w) for s, i, t, g in zip(*(c.to_pylist() for c in batch.columns)) for w in _scan(t, (), g)[1]]
+        rows = [(s, i, w) for m, s, i, t, g in zip(_may(batch.column(2)).tolist(), *(c.to_pylist() for c in batch.columns)) for w in _scan(t, (), g, m)[1]]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in range(3)], names=["src", "record_id", "word"])
 
 

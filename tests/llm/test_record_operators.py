@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,26 @@ def test_mentions(text, want):
     assert [k for k, *_ in privacy.mentions(text)] == want
 
 
+def test_texts_without_anything_to_find_are_not_scanned(monkeypatch):
+    read, scan = [], privacy._scan
+    monkeypatch.setattr(privacy, "_scan", lambda text, *rest: read.append(text) or scan(text, *rest))
+    texts = ["The van was left at 7 and never collected.", "Olga Petrenko called.", "Lot 225-64-2920 passed; page 3.", None, "Ring +49 30 23125129."]
+    batch = pa.RecordBatch.from_arrays([pa.array(["people"] * 5), pa.array([str(i) for i in range(5)]), pa.array(texts, pa.string())], names=["src", "record_id", "text"])
+    found = [(r["record_id"], r["kind"], r["value"]) for out in privacy._find(iter([batch])) for r in out.to_pylist() if r["nth"]]
+    assert found == [("1", "name", "Olga Petrenko"), ("4", "phone", "+49 30 23125129")] and read == [texts[1], texts[4]]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("at\u00a0136\u2003Fifel\u00a0Lane", ["address"]), ("Fóse\u0131straße\u3000١٦٧", ["address"]), ("CPF\u00a0١٦٤676802", ["id_number"]), ("Tel. +٤٩ ٣٠ ٢٣١٢٥١٢٩", ["phone"]),
+        ("a＠b.test", ["email"]), ("Mr.Olga Petrenko", ["name"]), ("J.-P. van der Hartley", ["name"]), ("O’Connor Petrenko-łódź", ["name"]), ("佐々木 一さん", ["name"]), ("frau. ölbaumis", ["name"]),
+    ],
+)
+def test_foreign_signs_pass_the_sieve(text, want):
+    assert [k for k, *_ in privacy.mentions(text)] == want
+
+
 # None of these names occurs in a table of the tests.
 @pytest.mark.parametrize(
     "text, want",
