@@ -94,7 +94,7 @@ BIG, LOW = _letters(str.isupper), _letters(str.islower)
 PARTICLES = "de la|de las|de los|van der|van den|von der|de|da|do|dos|das|del|della|di|du|von|van|vom|zu|zum|zur|ter|ten|bin|ibn|al|el|bint|af|av"
 NAME_WORD = rf"(?:[{BIG}][’'](?=[{BIG}]))?[{BIG}]\w*(?:(?:[’'](?=[{BIG}])|-(?=[{BIG}{LOW}]))\w+)*"
 ELEMENT = rf"(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.|[{BIG}]\.(?:-?[{BIG}]\.)*|{NAME_WORD})"
-RUN = re.compile(rf"(?<![\w@./’'-]){ELEMENT}(?:[ ]?(?<=[ .])(?:(?:{PARTICLES})[ ])?{ELEMENT})+")
+RUN = re.compile(rf"(?<![\w@./’'-])(?=[{BIG}]){ELEMENT}(?:[ ]?(?<=[ .])(?:(?:{PARTICLES})[ ])?{ELEMENT})+")
 PART = re.compile(rf"((?:^|[ ]?)(?:(?:{PARTICLES})[ ])?)({ELEMENT})")
 HAN_NAME = re.compile(r"[一-鿿々]{2,4}(?:[ \u3000][一-鿿々]{1,3})?(?=\s?(?:様|さん|氏|殿|先生|君)(?!\w*々))")
 SMALL = re.compile(rf"(?<![\w@./’'-])[{LOW}]\w*(?:[’'-][{LOW}]\w+)*")
@@ -233,16 +233,17 @@ def _capital_names(text: str, ordinary: Collection[str] = (), known: Collection[
                 j += 1
                 if word != part:
                     break
-            nxt = NEXT_WORD.match(text, end)
-            inside = bool(nxt and _organization_word(nxt[1])) or bool(j < len(parts) and words and _organization_word(parts[j][1]))
-            street = bool(j < len(parts) and parts[j][1].lower() in PLACE_WORDS) or bool(STREET_BEFORE.search(text, max(0, at - 24), at))
-            given = bool(words) and ((low := _fold(words[0])) in SEEDS or low in known)
-            opened = (titles and (len(words) > 1 or (words and (initials or not given)))) or (not titles and initials and words and parts[i][1].endswith(".")) or (given and len(words) > 1)
-            by_form = not opened and len(words) > 1 and not lead_upper and not PLACE_BEFORE.search(text, max(0, at - 14), at) and not THING_BEFORE.search(text, max(0, at - 10), at)
-            if words and not inside and not street:
-                if opened or by_form:
-                    out.append((at, end, [] if opened else [w.lower() for w in words]))
-                unsure |= not given and ((len(words) > 1 and not opened and not by_form) or bool(titles and len(words) == 1 and not initials))
+            if words and (len(words) > 1 or titles or initials):  # one word alone is no name
+                nxt = NEXT_WORD.match(text, end)
+                inside = bool(nxt and _organization_word(nxt[1])) or bool(j < len(parts) and _organization_word(parts[j][1]))
+                street = bool(j < len(parts) and parts[j][1].lower() in PLACE_WORDS) or bool(STREET_BEFORE.search(text, max(0, at - 24), at))
+                given = (low := _fold(words[0])) in SEEDS or low in known
+                opened = (titles and (len(words) > 1 or initials or not given)) or (not titles and initials and parts[i][1].endswith(".")) or (given and len(words) > 1)
+                by_form = not opened and len(words) > 1 and not lead_upper and not PLACE_BEFORE.search(text, max(0, at - 14), at) and not THING_BEFORE.search(text, max(0, at - 10), at)
+                if not inside and not street:
+                    if opened or by_form:
+                        out.append((at, end, [] if opened else [w.lower() for w in words]))
+                    unsure |= not given and ((len(words) > 1 and not opened and not by_form) or bool(titles and len(words) == 1 and not initials))
             i = max(j, i + 1)
     return out, unsure
 
@@ -396,7 +397,7 @@ def hits(rows: DataFrame, names: DataFrame) -> DataFrame:
     seeds = rows.sparkSession.createDataFrame([(w,) for w in sorted(SMALL_SEEDS)], "word string")
     given = cut(names.join(by_fold, "word", "left").filter(F.coalesce("uses", F.lit(0)) <= F.col("bearers")).select("word").unionByName(seeds).distinct())
     # Given names written small or all in capitals open names that nothing else shows; in other texts they matter only where the first reading was unsure.
-    spoken = rows.select(*row, F.explode(F.array_distinct(F.regexp_extract_all(folded("text"), F.lit(r"[\p{L}]{3,}"), F.lit(0)))).alias("word"))
+    spoken = rows.select(*row, F.explode(F.split(folded("text"), r"\P{L}+")).alias("word")).filter(F.length("word") > 2)
     known = cut(spoken.join(few(given), "word").groupBy(*row).agg(F.collect_set("word").alias("known")))
     first = cut(rows.mapInArrow(_find, _HIT).distinct())
     unsure = first.filter("kind = '!'").select(*row).distinct().withColumn("unsure", F.lit(True))
